@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that each document loses to an earlier line within one edit."""
+    from docmill.llm import line_dedup
+
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the digests of ids and of what they decode to."""
     from docmill.llm import bpe
@@ -40,6 +47,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the base spans and the tokens that only few owners hold."""
+    from docmill.llm import secrets
+
+    rows = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["nth"] < len(secrets.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["nth"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
+    n_live = F.size(F.filter("spans", lambda s: F.array_contains(F.col("live"), s["hash"]))).cast("long")
+    return rows.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), n_live.alias("n_live"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every document, with the verdict of its host."""
     from docmill.llm import quality
@@ -48,6 +66,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a similarity of 0.8 or more."""
+    from docmill.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     from docmill.llm import bpe, packing
@@ -56,10 +81,70 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_sharding": op4_sharding,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_dup": op9_near_dup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+#: Lines within one edit share the first or the last half of the shorter one's length.
+OP2_SQL = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), part AS (SELECT * FROM lines WHERE length(line) >= 32),
+firsts AS (
+  SELECT line, length(line) AS chars, min((doc_id, line_no)) AS first FROM part GROUP BY line
+), halves AS (
+  SELECT line, chars, first, least, 0 AS side, left(line, (least // 2)::INT) AS half FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts)
+  UNION ALL
+  SELECT line, chars, first, least, 1, right(line, (least // 2)::INT) FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts)
+), near AS (
+  SELECT DISTINCT b.line FROM halves a JOIN halves b
+  ON a.side = b.side AND a.half = b.half AND a.least = b.least AND a.first < b.first AND levenshtein(a.line, b.line) = 1
+), dropped AS (
+  SELECT p.doc_id, p.line_no, CASE WHEN (p.doc_id, p.line_no) <> f.first THEN 'exact' ELSE 'near' END AS kind
+  FROM part p JOIN firsts f USING (line) LEFT JOIN near n USING (line)
+  WHERE (p.doc_id, p.line_no) <> f.first OR n.line IS NOT NULL
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'exact') AS n_exact, count(*) FILTER (kind = 'near') AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped
+  FROM dropped GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(dropped, '') AS dropped
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH hits AS (
+  SELECT doc_id, source, 'assign' AS kind, 0 AS nth, string_split_regex(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps,
+    regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS found,
+    regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS vals
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+  UNION ALL SELECT doc_id, source, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+  UNION ALL SELECT doc_id, source, 'hex', 2, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+  UNION ALL SELECT doc_id, source, 'token', 3, string_split_regex(t, '[A-Za-z0-9+/_-]{32,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{32,}', 0), regexp_extract_all(t, '[A-Za-z0-9+/_-]{32,}', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+), each AS (
+  SELECT doc_id, source, kind, nth, unnest(found) AS m, unnest(vals) AS v, unnest(gaps[:len(found)]) AS gap, unnest(range(1, len(found) + 1)) AS i FROM hits WHERE len(found) > 0
+), placed AS (
+  SELECT doc_id, source, kind, nth, v, m, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, nth ORDER BY i))::BIGINT AS e, length(m) AS n FROM each
+), spans AS (
+  SELECT doc_id, source, kind, nth, v, e - n AS s, e FROM placed
+  WHERE length(v) >= 6 AND CASE kind WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
+    WHEN 'token' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END
+), owned AS (SELECT v, count(DISTINCT source) <= 2 AS live FROM spans GROUP BY v),
+reported AS (SELECT * FROM spans JOIN owned USING (v) WHERE nth < 3 OR live),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) FILTER (nth < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans, count(*) FILTER (live) AS n_live
+  FROM reported GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_secret_scan": OP7_SQL}
