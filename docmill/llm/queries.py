@@ -53,7 +53,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["nth"] < len(secrets.BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["nth"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.nth = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
     n_live = F.size(F.filter("spans", lambda s: F.array_contains(F.col("live"), s["hash"]))).cast("long")
     return rows.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), n_live.alias("n_live"))
 
