@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.bpe import encoder, in_merge_order
+from docmill.llm.bpe import encoder, in_merge_order, sliced
 from docmill.llm.common import materialize, text_or_empty
 
 #: Length classes of the linear program, its rounds and step, and the gap at which it ends.
@@ -41,7 +41,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
     end, by_rank = np.array([end_id], "<u4").tobytes(), in_merge_order(tokenizer)
 
     def work(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in sliced(b)):
             owner, piece, start, length, crc = [], [], [], [], []
             for at, ids in enumerate(encoder(shared.value, by_rank).encode(batch.column(1).to_pylist())):
                 ids += end
