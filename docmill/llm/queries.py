@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best vectors by inner product for each vector whose id is divisible by 50."""
+    from docmill.llm import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search.search(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that each document loses to an earlier line within one edit."""
     from docmill.llm import line_dedup
@@ -47,6 +55,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    from docmill.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    counts = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, counts)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's URL."""
+    from docmill.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the base spans and the tokens that only few owners hold."""
     from docmill.llm import secrets
@@ -81,9 +106,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k_search": op1_top_k_search,
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
+    "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dup": op9_near_dup,
@@ -147,4 +175,36 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_secret_scan": OP7_SQL}
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS terms FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.terms::DOUBLE[], c.terms::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+OP6_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule,
+    regexp_extract(host || path, '^(?:[^/]*[.-])?(adult|bets|casino|pills|porn|spam|viagra)(?:[.-]|/|$)', 1) AS word FROM parts
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN word <> '' THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL AND word <> '' THEN 'host word ' || word END AS pattern
+FROM ruled
+"""
+
+ORACLE: dict[str, str] = {"op1_top_k_search": OP1_SQL, "op6_url_filter": OP6_SQL, "op2_line_dedup": OP2_SQL, "op7_secret_scan": OP7_SQL}
