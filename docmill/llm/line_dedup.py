@@ -113,8 +113,9 @@ def line_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """``df`` with the kept lines of each text; documents of which no word is left go."""
-    rows = joined_drops(df, id_col, text_col, least_chars, *(F.col(c) for c in df.columns))
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.transform("_dropped", lambda d: d["line_no"]), i))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    left = rows.withColumn(text_col, text).where(F.col("_dropped").isNull() | F.col(text_col).rlike("[^ \\t-\\r]"))
-    return left.select(*df.columns)
+    row = F.col("row")
+    rows = joined_drops(df, id_col, text_col, least_chars, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    kept = F.filter(F.split(row[text_col], "\n"), lambda _, i: ~F.array_contains(F.transform("_dropped", lambda d: d["line_no"]), i))
+    text = F.when(F.col("_dropped").isNull(), row[text_col]).otherwise(F.array_join(kept, "\n"))
+    left = rows.withColumn("_text", text).where(F.col("_dropped").isNull() | F.col("_text").rlike("[^ \\t-\\r]"))
+    return left.select(*((F.col("_text") if c == text_col else row[c]).alias(c) for c in df.columns))

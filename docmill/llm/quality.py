@@ -13,9 +13,11 @@ are judged alike and counted each; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, text_or_empty
@@ -64,13 +66,14 @@ def measures(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return rows.mapInArrow(work, f"id {kinds[0]}, host {kinds[1]}, {MEASURES}")
 
 
-def soft_failures() -> dict[str, F.Column]:
-    n, mean = F.col("n_words"), F.col("word_chars") / F.col("n_words")
-    return {
-        "symbols": F.col("n_symbols") > MOST_SYMBOLS * n,
-        "dup_lines": F.col("n_dup_lines") > MOST_DUP_LINES * F.col("n_lines"),
-        "word_length": (n > 0) & ~F.when(n > 0, mean).between(*WORD_LENGTH),
-    }
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < LEAST_WORDS) | (of("n_repeat_words") > MOST_REPEATED * of("n_words"))
+
+
+def soft_failed(of: Callable[[str], Column] = F.col) -> Column:
+    n = of("n_words")
+    mean = F.when(n > 0, of("word_chars") / n)
+    return (of("n_symbols") > MOST_SYMBOLS * n) | (of("n_dup_lines") > MOST_DUP_LINES * of("n_lines")) | F.coalesce(~mean.between(*WORD_LENGTH), F.lit(False))
 
 
 def host_rates(judged: DataFrame, bound: float = HOST_BOUND) -> DataFrame:
@@ -97,13 +100,24 @@ def prior(bad: int, n: int, square: float, hosts: int) -> tuple[float, float]:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id, the measures, ``base_failed``, ``soft_failed``, what is known of the host, and ``kept``."""
-    n = F.col("n_words")
-    base = (n < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * n)
-    soft = soft_failures()
-    any_soft = F.coalesce(F.greatest(*soft.values()), F.lit(False))
     rows = materialize(measures(df, id_col, text_col, host_col), "measures")
-    judged = rows.withColumn("base_failed", base).withColumn("soft_failed", any_soft).withColumn("failed", F.col("base_failed") | F.col("soft_failed"))
+    judged = rows.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed()).withColumn("failed", F.col("base_failed") | F.col("soft_failed"))
     hosts = host_rates(judged).withColumnRenamed("host", "_host")
     out = judged.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
     kept = ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed"))
     return out.withColumn("kept", kept).drop("_host", "failed").withColumnRenamed("id", id_col)
+
+
+def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``df`` without the rejected documents. Measures are taken again on the row rather than joined, so whole texts aren't shuffled; only the condemned hosts are joined."""
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+
+    @F.pandas_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def taken(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in text], columns=names)
+
+    bad = judge(df, id_col, text_col, host_col).where("host_bad").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")).distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(host_col).alias("host"), taken(text_or_empty(text_col)).alias("taken"))
+    of = lambda n: F.col("taken")[n]
+    found = rows.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left")
+    return found.where(~base_failed(of) & ~(F.coalesce("_bad", F.lit(False)) & soft_failed(of))).select("row.*")

@@ -101,6 +101,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """``df`` with the reported spans of its texts replaced by ``MARK``."""
     spans = scan(df, id_col, text_col, owner_col, repository_col).where(F.size("spans") > 0)
     spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")).distinct()
-    rows = df.withColumn("_key", F.xxhash64(text_col)).join(spans, F.col("_key") == F.col("_doc"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))
-    return rows.withColumn(text_col, text).select(*df.columns)
+    row = F.col("row")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(text_col).alias("_key")).join(spans, F.col("_key") == F.col("_doc"), "left")
+    text = F.when(F.col("_spans").isNull(), row[text_col]).otherwise(redacted(row[text_col], F.col("_spans")))
+    return rows.select(*((text if c == text_col else row[c]).alias(c) for c in df.columns))
