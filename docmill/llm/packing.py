@@ -30,6 +30,8 @@ from docmill.llm.common import materialize, text_or_empty
 CLASSES, ROUNDS, STEP, GAP = 128, 4000, 0.1, 0.01
 #: Tokens that a rounded configuration may leave free; what doesn't get so close goes best-fit.
 SLACK = 1
+#: Multiples of the fractional solution that are rounded down.
+SHARES = (1.0, 0.5, 0.2, 0.05)
 #: Salted groups by which ranks are counted: this many over all lengths, beside one for each length.
 RANK_GROUPS, LEAST_GROUP = 4096, 64
 
@@ -106,6 +108,11 @@ def fractional(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
     return [(config, x / least) for config, x in used.values()]
 
 
+def class_of(length: int, width: int, units: int) -> int:
+    """The nearest multiple of ``width``, from 0 for the first; places are filled by true lengths later."""
+    return min(max(-(-(length - width // 2) // width), 1), units) - 1
+
+
 class Histogram:
     """Counts of lengths, with the longest held length up to a bound."""
 
@@ -125,40 +132,48 @@ class Histogram:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Recipes: lengths of one sequence, and how many sequences are filled so. Each piece is used once."""
-    left = Histogram(counts)
-    recipes: list[tuple[tuple[int, ...], int]] = []
+    """Recipes: lengths of one sequence, and how many sequences are filled so. Each piece is used once.
+
+    The fractional solution is rounded down from several of its multiples; the one with the fewest sequences stays.
+    """
     width = -(-capacity // CLASSES)
     units = capacity // width
     demand = np.zeros(units, np.int64)
-    for length, n in left.counts.items():
+    for length, n in counts.items():
         if length < capacity:
-            demand[min(-(-length // width), units) - 1] += n
+            demand[class_of(length, width, units)] += n
+    solution = sorted(fractional(demand), key=lambda x: -x[1])
+    rounds = (rounded([(c, x * share) for c, x in solution], Histogram(counts), capacity, width, units) for share in SHARES)
+    return min((best_fit(recipes, left, capacity) for recipes, left in rounds), key=lambda r: sum(n for _, n in r))
+
+
+def rounded(solution: list[tuple[np.ndarray, float]], left: Histogram, capacity: int, width: int, units: int) -> tuple[list[tuple[tuple[int, ...], int]], Histogram]:
+    """Whole sequences of the solution, and what is left of the histogram. The last place takes the longest piece that fits."""
+    recipes: list[tuple[tuple[int, ...], int]] = []
     if full := left.counts.get(capacity):
         recipes.append(((capacity,), full))
         left.take(capacity, full)
-    for config, times in sorted(fractional(demand), key=lambda x: -x[1]):
+    for config, times in solution:
         slots = [int(c) for c in np.repeat(np.arange(units), config)[::-1]]
         bins = int(times)
         while bins > 0:
-            chosen, room, many, taken = [], capacity, bins, {}
+            chosen, room, taken = [], capacity, {}
             for k, slot in enumerate(slots):
-                length = left.longest(min(room, (slot + 1) * width if k + 1 < len(slots) else room))
-                if not length or k + 1 < len(slots) and length <= slot * width or taken.get(length, 0) >= left.counts[length]:
+                last = k + 1 == len(slots)
+                length = left.longest(room if last else min(room, (slot + 1) * width + width // 2))
+                if not length or not last and class_of(length, width, units) != slot or taken.get(length, 0) >= left.counts[length]:
                     break
                 chosen.append(length)
                 taken[length] = taken.get(length, 0) + 1
                 room -= length
             if len(chosen) < len(slots) or room > SLACK:
                 break
-            many = min(many, *(left.counts[x] // n for x, n in taken.items()))
-            if not many:
-                break
+            many = min(bins, *(left.counts[x] // n for x, n in taken.items()))
             for length, n in taken.items():
                 left.take(length, n * many)
             recipes.append((tuple(chosen), many))
             bins -= many
-    return best_fit(recipes, left, capacity)
+    return recipes, left
 
 
 def best_fit(recipes: list[tuple[tuple[int, ...], int]], left: Histogram, capacity: int) -> list[tuple[tuple[int, ...], int]]:
