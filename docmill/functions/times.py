@@ -15,12 +15,13 @@ ALIASES = {
     "@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
     "@daily": "0 0 * * *", "@hourly": "0 * * * *", "@every_minute": "* * * * *",
 }
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "EEE, dd MMM yyyy HH:mm:ss Z")
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "d MMM yyyy HH:mm:ss xx")
 
 
 def lenient_timestamp(c: Column | str) -> Column:
-    """The first form that fits, else null."""
-    return F.coalesce(*(F.try_to_timestamp(_col(c), F.lit(f)) for f in FORMATS))
+    """The first form that fits, else null. A leading day of the week is ignored."""
+    text = F.regexp_replace(_col(c), r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in FORMATS))
 
 
 def milliseconds(start: Column | str, end: Column | str) -> Column:

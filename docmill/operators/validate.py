@@ -88,13 +88,24 @@ def default_rules() -> Rules:
     return out
 
 
-@F.pandas_udf("boolean")
-def too_similar(title: pd.Series, content: pd.Series) -> pd.Series:
-    """Sequence similarity over 0.8, behind the bound that lengths give."""
+def similar_texts(a: str | None, b: str | None, bound: float = 0.8) -> bool:
+    """Sequence similarity over the bound, behind the upper bounds that lengths and letters give."""
     from difflib import SequenceMatcher
 
-    near = lambda a, b: bool(a and b) and 2 * min(len(a), len(b)) > 0.8 * (len(a) + len(b)) and SequenceMatcher(None, a.lower(), b.lower()).ratio() > 0.8
-    return pd.Series([near(a, b) for a, b in zip(title, content)], dtype=bool)
+    if not a or not b or 2 * min(len(a), len(b)) <= bound * (len(a) + len(b)):
+        return False
+    if a.lower() == b.lower():
+        return True
+    match = SequenceMatcher(None, a.lower(), b.lower())
+    return match.quick_ratio() > bound and match.ratio() > bound
+
+
+def too_similar(title: Column, content: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def similar(titles: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([similar_texts(a, b) for a, b in zip(titles, contents)], dtype=bool)
+
+    return similar(title, content)
 
 
 def repetition(c: Column) -> Column:
@@ -107,6 +118,7 @@ def document_findings(columns: list[str], asof: Column | None = None) -> list[Co
     """Rules over a whole document: quality of the content, agreement with the title, age, number of tags."""
     get = lambda name, kind="string": F.col(name) if name in columns else F.lit(None).cast(kind)
     title, content = F.nullif(get("title"), F.lit("")), F.nullif(get("content"), F.lit(""))
+    near = 2 * F.least(F.length(title), F.length(content)) > 0.8 * (F.length(title) + F.length(content))
     marks = F.lit(False)
     for mark in MOJIBAKE_MARKS:
         marks = marks | F.contains(content, F.lit(mark))
@@ -115,7 +127,7 @@ def document_findings(columns: list[str], asof: Column | None = None) -> list[Co
         finding(repetition(content) > 0.5, "content", "repetition", "warning"),
         finding(marks, "content", "encoding", "warning"),
         finding(F.startswith(content, title), "content", "starts_with_title", "info"),
-        finding(F.when(2 * F.least(F.length(title), F.length(content)) > 0.8 * (F.length(title) + F.length(content)), too_similar(title, content)), "title", "title_like_content", "warning"),
+        finding(near & too_similar(F.when(near, title), F.when(near, content)), "title", "title_like_content", "warning"),
     ]
     if "publish_date" in columns and asof is not None:
         day = F.coalesce(*(F.try_to_timestamp(F.col("publish_date"), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd")))
