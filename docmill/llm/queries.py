@@ -207,4 +207,54 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM ruled
 """
 
-ORACLE: dict[str, str] = {"op1_top_k_search": OP1_SQL, "op6_url_filter": OP6_SQL, "op2_line_dedup": OP2_SQL, "op7_secret_scan": OP7_SQL}
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, unnest([0, 1, 2]) AS s(k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN repeated USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR coalesce(word_chars / nullif(n_words, 0) NOT BETWEEN 3.0 AND 10.0, false) AS soft_failed FROM m
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM judged GROUP BY source
+), moments AS (
+  SELECT least(greatest(sum(bad) / sum(n), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS mean, sum(n * (bad / n) * (bad / n)) / sum(n) AS square, count(*) / sum(n) AS hosts FROM hosts
+), prior AS (
+  SELECT mean, greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * hosts, 1e-6::DOUBLE) - 1, 2.0::DOUBLE) AS strength FROM moments
+), rates AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate FROM hosts, prior)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND NOT (host_rate > 0.5 AND soft_failed) AS kept, round(host_rate, 9) AS host_rate
+FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.node = l.x),
+c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+#: Tokenizers, sampled splitters and learnt models have no SQL; tests hold these queries against brute force.
+ORACLE: dict[str, str] = {
+    "op1_top_k_search": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op7_secret_scan": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
+    "op9_near_dup": OP9_SQL,
+}
