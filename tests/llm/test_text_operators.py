@@ -274,6 +274,26 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert out == brute_components(data, 4)[0]
 
 
+def test_near_duplicates_of_a_hub_whose_copies_differ(spark):
+    import random
+
+    rng = random.Random(9)
+    data = []
+    for group in range(6):
+        base = [f"g{group}w{rng.randint(0, 9999)}" for _ in range(150)]
+        data.append((group * 100 + 50, " ".join(base)))
+        for k in range(30):
+            words = list(base)
+            for at in rng.sample(range(5, 145, 10), 4):
+                words[at] = f"new{k}x{at}"
+            data.append((group * 100 + k, " ".join(words)))
+    expected, sets = brute_components(data, 4)
+    pairs = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(30) for b in range(a)]
+    assert min(pairs) < 0.8 < len(sets[50] & sets[0]) / len(sets[50] | sets[0])
+    out = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4).collect()}
+    assert out == expected
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
