@@ -65,3 +65,18 @@ def dedup_stats(flags: DataFrame, *by: str) -> DataFrame:
     """Totals, duplicates and rates of flagged rows, by group."""
     out = flags.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("is_duplicate").alias("duplicates"))
     return out.withColumns({"unique_docs": F.col("total") - F.col("duplicates"), "duplicate_rate": F.col("duplicates") / F.col("total")})
+
+
+def semantic_duplicates(docs: DataFrame, known: DataFrame, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text", vector_col: str = "embedding") -> DataFrame:
+    """id, original_id and method of documents that a known one matches: by hash first, then by the best cosine of ``least`` or more.
+
+    Texts under ``LEAST_CHARS`` are never duplicates; an id that is known is a duplicate of itself.
+    """
+    long = docs.where(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) >= LEAST_CHARS).withColumn("_hash", content_hash(text_col))
+    seen = known.groupBy(content_hash(text_col).alias("_hash")).agg(F.min(id_col).alias("original_id"))
+    itself = docs.join(known.select(id_col), id_col, "left_semi").select(id_col, F.col(id_col).alias("original_id"), F.lit("id").alias("method"))
+    equal = long.join(itself.select(id_col), id_col, "left_anti").join(seen, "_hash").select(id_col, "original_id", F.lit("hash").alias("method"))
+    rest = long.join(itself.union(equal).select(id_col), id_col, "left_anti").select(id_col, vector_col)
+    best = similar_vectors(known.select(id_col, vector_col), rest, 1, least, id_col, vector_col)
+    near = best.select(F.col("query_id").alias(id_col), F.col(id_col).alias("original_id"), F.lit("vector").alias("method"))
+    return itself.union(equal).union(near)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A rule makes a function from (seconds, value) to an outcome, with its own state.
 Rule = Callable[[], Callable[[float, float], bool]]
@@ -158,3 +159,34 @@ def fold(df: DataFrame, key: str, time: str, tie: str, value: str, rule, output:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, f"{schema}, `{output}` {kind}")
+
+
+def controller(least: int, most: int, base_rate: float, pause: float = 30.0, calm: float = 300.0) -> Callable[[], Callable[[float, float], float]]:
+    """Concurrent tasks under adaptive control. The value is a score: from 0.8 tasks fall to the least, from 0.6 they
+    shrink by 0.7, under 0.3 they grow by 1.2 unless they shrank within ``calm`` seconds; at most one action in ``pause`` seconds."""
+
+    def start():
+        tasks, acted, shrank = most, None, None
+
+        def step(at: float, score: float) -> float:
+            nonlocal tasks, acted, shrank
+            if acted is None or at - acted >= pause:
+                new = least if score >= 0.8 else max(least, int(tasks * 0.7)) if score >= 0.6 else tasks
+                if score < 0.3 and tasks < most and (shrank is None or at - shrank >= calm):
+                    new = min(most, max(tasks + 1, int(tasks * 1.2)))
+                shrank = at if score >= 0.6 else shrank
+                acted, tasks = at, new
+            return float(tasks)
+
+        return step
+
+    return start
+
+
+def all_admit(df: DataFrame, keys: list[tuple[str, Rule]], time: str, tie: str, output: str) -> DataFrame:
+    """Requests that pass one limiter after another: each sees only what those before it have admitted."""
+    admitted, names = df, df.columns
+    for key, rule in keys:
+        admitted = fold(admitted, key, time, tie, tie, rule, output).where(output).select(*names)
+    marked = admitted.select(tie).withColumn(output, F.lit(True))
+    return df.join(marked, tie, "left").withColumn(output, F.coalesce(output, F.lit(False)))

@@ -80,3 +80,41 @@ def error_class(name: Column) -> Column:
 def over_domain(counts: DataFrame, domain: DataFrame, key: str, count: str) -> DataFrame:
     """Counts of every member of the domain, 0 where there is none."""
     return domain.join(counts, key, "left").select(key, F.coalesce(count, F.lit(0)).alias(count))
+
+
+#: The states of a task and those that may follow.
+TRANSITIONS = {
+    "pending": ("running", "cancelled"),
+    "running": ("success", "failed", "cancelled", "timeout", "retrying"),
+    "retrying": ("running", "failed", "cancelled"),
+    "failed": ("retrying",),
+    "timeout": ("retrying",),
+}
+
+
+def transitions(df: DataFrame, key: str, state: str, order: list[str], allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``df`` with the state before and whether the change is allowed; the first state always is."""
+    from pyspark.sql import Window
+
+    out = df.withColumn("before", F.lag(state).over(Window.partitionBy(key).orderBy(*order)))
+    ok = F.col("before").isNull()
+    for old, new in (TRANSITIONS if allowed is None else allowed).items():
+        ok = ok | ((F.col("before") == old) & F.col(state).isin(*new))
+    return out.withColumn("allowed", ok)
+
+
+def alive(df: DataFrame, time: str, asof: str, ttl_seconds: int) -> DataFrame:
+    """Rows that are not older than their time to live."""
+    return df.where(F.col(time) > F.lit(asof).cast("timestamp") - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
+
+
+def storage(df: DataFrame, folder: str, size: Column) -> DataFrame:
+    """Files, bytes and MB of each folder, and of all (null folder)."""
+    out = df.withColumn("_bytes", size).rollup(folder).agg(F.count("*").alias("files"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes"))
+    return out.withColumn("mb", F.round(F.col("bytes") / (1024 * 1024), 2))
+
+
+def results_of(ids: DataFrame, results: DataFrame, key: str, value: str, message: str = "no result") -> DataFrame:
+    """Every id with its value, or else an error."""
+    found = ids.join(results.select(key, value), key, "left")
+    return found.withColumn("error", F.when(F.col(value).isNull(), F.lit(message)))

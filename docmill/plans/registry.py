@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.plans import documents, operations
+from docmill.plans import documents, more, operations
 
-QUERIES = documents.QUERIES | operations.QUERIES
-ORACLE = documents.ORACLE | operations.ORACLE
+QUERIES = documents.QUERIES | operations.QUERIES | more.QUERIES
+ORACLE = documents.ORACLE | operations.ORACLE | more.ORACLE
