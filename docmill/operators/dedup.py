@@ -15,13 +15,13 @@ from docmill.functions.hashing import comparable, content_hash, cosine
 LEAST_CHARS = 50
 
 
-def flag_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, algorithm: str = "sha256") -> DataFrame:
-    """id, content_hash, ``original_id`` (the smallest id with the same hash) and ``is_duplicate``. Short texts are never duplicates."""
+def flag_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, algorithm: str = "sha256", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, content_hash, ``original_id`` (the smallest id with the same hash), ``is_duplicate`` and the columns to ``keep``. Short texts are never duplicates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), content_hash(text, algorithm).alias("content_hash"), (F.length(F.trim(text)) < least_chars).alias("short"))
+    rows = df.select(F.col(id_col).alias("id"), content_hash(text, algorithm).alias("content_hash"), (F.length(F.trim(text)) < least_chars).alias("short"), F.struct(F.lit(0), *keep).alias("kept"))
     first = rows.where("NOT short").groupBy("content_hash").agg(F.min("id").alias("original_id"))
     out = rows.join(first, "content_hash", "left").withColumn("original_id", F.when(F.col("short"), F.col("id")).otherwise(F.col("original_id")))
-    return out.select(F.col("id").alias(id_col), "content_hash", "original_id", (F.col("id") != F.col("original_id")).alias("is_duplicate"))
+    return out.select(F.col("id").alias(id_col), "content_hash", "original_id", (F.col("id") != F.col("original_id")).alias("is_duplicate"), *(F.col("kept")[c].alias(c) for c in keep))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -59,9 +59,7 @@ def dup_groups(spark, sf_dir):
 @query(FLAGS + """SELECT source, count(*) AS total, count(*) FILTER (doc_id <> original_id) AS duplicates, count(*) FILTER (doc_id = original_id) AS unique_docs,
   count(*) FILTER (doc_id <> original_id) / count(*) AS duplicate_rate FROM g GROUP BY source""")
 def dedup_stats_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    flags = dedup.flag_duplicates(docs.select("doc_id", "text"))
-    return dedup.dedup_stats(flags.join(docs.select("doc_id", "source"), "doc_id"), "source")
+    return dedup.dedup_stats(dedup.flag_duplicates(table(spark, sf_dir, "documents"), keep=("source",)), "source")
 
 
 @query("""
