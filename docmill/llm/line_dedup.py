@@ -6,7 +6,8 @@ Shorter lines stay.
 
 Copies of a line are pre-aggregated to their first occurrence. Two distinct lines within one edit have
 an equal first or second half of the shorter one's length, so a key for each half, counted over all
-lines, tells which lines can have a partner at all; the others emit nothing more. For the rest every
+lines, tells which lines can have a partner at all; the same is then asked of what is outside each of a line's blocks.
+The others emit nothing more. For the rest every
 deletion variant is emitted as a hashed key. Lines whose variants agree after deletion at the same
 place, or a line and the variants that equal it, are within one edit of each other, so each key needs
 only its earliest line and no pairs within a key; a key has at most as many lines as the alphabet
@@ -51,14 +52,23 @@ def with_partners(seen: DataFrame) -> DataFrame:
     return halves.join(shared, "half").select("key", "check").distinct()
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """A row for each deletion variant of each line; ``role`` is 0 for a change, 1 for the shorter and 2 for the longer line of an insertion."""
+def blocks(least: str, more: int) -> str:
+    """Blocks of about the root of the length: number, hash of what is outside, and the block itself."""
+    width = f"int(ceil(sqrt({least}) / 8) * 8)"
+    parts = f"b AS b, xxhash64(left(line, b * {width}), substring(line, (b + 1) * {width} + {more + 1})) AS rest, substring(line, b * {width} + 1, {width} + {more}) AS part"
+    return f"transform(sequence(0, int(floor(({least} - 1) / {width}))), b -> struct({parts}))"
+
 
-    def blocks(least: str, more: int) -> str:
-        width = f"int(ceil(sqrt({least}) / 8) * 8)"
-        parts = f"b AS b, xxhash64(left(line, b * {width}), substring(line, (b + 1) * {width} + {more + 1})) AS rest, substring(line, b * {width} + 1, {width} + {more}) AS part"
-        return f"transform(sequence(0, int(floor(({least} - 1) / {width}))), b -> struct({parts}))"
+def agreeing(lines: DataFrame) -> DataFrame:
+    """The lines that agree with another one, as long or one longer, outside some block: an edit lies in one block."""
+    keys = [f"transform({blocks(least, more)}, x -> xxhash64({least}, x.b, x.rest))" for least, more in (("chars", 0), ("(chars - 1)", 1))]
+    each = lines.select("key", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("outside"))
+    met = each.groupBy("outside").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("outside")
+    return lines.join(each.join(met, "outside").select("key").distinct(), "key", "left_semi")
 
+
+def variants(lines: DataFrame) -> DataFrame:
+    """A row for each deletion variant of each line; ``role`` is 0 for a change, 1 for the shorter and 2 for the longer line of an insertion."""
     places, cut = "sequence(0, length(x.part) - 1)", "concat(left(x.part, i), substring(x.part, i + 2))"
     changed = f"flatten(transform({blocks('chars', 0)}, x -> transform({places}, i -> struct(xxhash64(0, chars, x.b, i, x.rest, {cut}) AS variant, 0 AS role))))"
     shorter = f"transform({blocks('chars', 0)}, x -> struct(xxhash64(1, chars, x.b, x.rest, x.part) AS variant, 1 AS role))"
@@ -71,7 +81,7 @@ def near_lines(seen: DataFrame, occ: DataFrame) -> DataFrame:
     firsts = seen.join(with_partners(seen), ["key", "check"], "left_semi").select("key", "check", "first")
     here = F.struct("id", "line_no", "doc")
     texts = occ.join(firsts, ["key", "check"]).where(here == F.col("first")).select("key", "check", "chars", "first", "line").distinct()
-    texts = materialize(texts, "texts")
+    texts = materialize(agreeing(materialize(texts, "able")), "texts")
     rows = variants(texts)
     met = rows.groupBy("variant").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("variant")
     rows = materialize(rows.join(met, "variant"), "variants").join(texts.select("key", "first"), "key")
