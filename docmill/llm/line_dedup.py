@@ -64,7 +64,7 @@ def agreeing(lines: DataFrame) -> DataFrame:
     keys = [f"transform({blocks(least, more)}, x -> xxhash64({least}, x.b, x.rest))" for least, more in (("chars", 0), ("(chars - 1)", 1))]
     each = lines.select("key", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("outside"))
     met = each.groupBy("outside").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("outside")
-    return lines.join(each.join(met, "outside").select("key").distinct(), "key", "left_semi")
+    return lines.join(each.hint("merge").join(met, "outside").select("key").distinct(), "key", "left_semi")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -84,7 +84,8 @@ def near_lines(seen: DataFrame, occ: DataFrame) -> DataFrame:
     texts = materialize(agreeing(materialize(texts, "able")), "texts")
     rows = variants(texts)
     met = rows.groupBy("variant").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("variant")
-    rows = materialize(rows.join(met, "variant"), "variants").join(texts.select("key", "first"), "key")
+    # Spark takes exploded rows to be as small as the lines that they come from, and must not broadcast them.
+    rows = materialize(rows.hint("merge").join(met, "variant"), "variants").join(texts.select("key", "first"), "key")
     one = F.struct("first", "key")
     best = rows.groupBy("variant").agg(*(F.min(F.when(F.col("role") == r, one)).alias(f"best{r}") for r in range(3)))
     other = F.when(F.col("role") == 0, F.col("best0")).when(F.col("role") == 1, F.col("best2")).otherwise(F.col("best1"))
