@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe, line_dedup, near_dup, packing, quality, secrets
-from docmill.llm.common import shared_dir
+from docmill.llm.common import tables_dir
 from docmill.llm.queries import vocabulary
 
 
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/docmill-pipeline-{uuid.uuid4().hex}"
+    base = f"{tables_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

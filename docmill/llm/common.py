@@ -23,10 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application writes its tables."""
+    return f"{shared_dir(spark).rstrip('/')}/docmill-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has written, once no result needs them any more."""
+    jvm, path = spark.sparkContext._jvm, tables_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docmill-{uuid.uuid4().hex}/{name}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -126,3 +126,13 @@ def test_components_of_a_path(spark):
     random.Random(2).shuffle(order)
     links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(199)] + [(900, 901)], "a long, b long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(200)} | {(900, 900), (901, 900)}
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    from docmill.llm import common
+
+    assert common.tables_dir(spark).startswith(common.shared_dir(spark).rstrip("/"))
+    monkeypatch.setattr(common, "tables_dir", lambda _: str(tmp_path / "tables"))
+    assert common.materialize(spark.range(3).toDF("id"), "three").count() == 3 and (tmp_path / "tables").is_dir()
+    common.clear(spark)
+    assert not (tmp_path / "tables").exists()
