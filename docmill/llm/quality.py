@@ -30,6 +30,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 MOST_SYMBOLS, MOST_DUP_LINES, WORD_LENGTH = 0.1, 0.3, (3.0, 10.0)
 #: A host is condemned where its shrunken rate of failures is over this.
 HOST_BOUND = 0.5
+#: Condemned hosts up to which they are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
@@ -117,7 +119,9 @@ def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame([measure(t) for t in text], columns=names)
 
     bad = judge(df, id_col, text_col, host_col).where("host_bad").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")).distinct()
+    bad = materialize(bad, "hosts")
+    few = bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(host_col).alias("host"), taken(text_or_empty(text_col)).alias("taken"))
     of = lambda n: F.col("taken")[n]
-    found = rows.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left")
+    found = rows.join(F.broadcast(bad) if few else bad, F.col("host").eqNullSafe(F.col("_host")), "left")
     return found.where(~base_failed(of) & ~(F.coalesce("_bad", F.lit(False)) & soft_failed(of))).select("row.*")
