@@ -8,7 +8,9 @@ still too large at full depth holds all but equal sets, and is cut into chunks t
 their first nodes. Candidates are the sorted neighbours and the first node of a region, so they grow
 in proportion to the nodes, never with the square of a group. Every candidate is confirmed on full sets.
 Where a region then still holds several components, a further round looks farther back in the order and
-at the most linked nodes of the other components, until a round confirms nothing new.
+at the most linked nodes of the other components, until a round confirms nothing new. Going deeper
+separates nodes that are linked, so the nodes of regions that were too large at least depth and hold
+several components at the end are joined once more by an exact prefix filter on their rarest shingles.
 
 Links are transitive: a document's component is named by the smallest id reachable. With 16 trees of
 least depth 3 two sets of similarity 0.8 share no region with probability (1 - 0.8 ** 3) ** 16, 1e-5.
@@ -109,11 +111,11 @@ def full_sets(df: DataFrame, width: int, text_col: str) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """set_id, n_shingles, tree, order, region and chunk: each node once in each tree."""
+    """set_id, n_shingles, tree, order, base (the region at least depth), region and chunk: each node once in each tree."""
     order = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(concat(signature, signature), t * {4 * LEAST_DEPTH} + 1, {4 * MOST_DEPTH}) AS order))")
     rows = nodes.select("set_id", "n_shingles", F.explode(order).alias("at")).select("set_id", "n_shingles", "at.tree", "at.order")
     key = lambda depth: F.xxhash64("tree", F.substring("order", 1, 4 * depth))
-    rows = rows.withColumn("region", key(LEAST_DEPTH))
+    rows = rows.withColumn("base", key(LEAST_DEPTH)).withColumn("region", F.col("base"))
 
     def crowded() -> DataFrame:
         return materialize(rows.groupBy("region").agg(F.count("*").alias("crowd")).where(F.col("crowd") > REGION), "crowded")
@@ -128,10 +130,10 @@ def regions(nodes: DataFrame) -> DataFrame:
 
 
 def crowds(nodes: DataFrame) -> DataFrame:
-    """The rows of regions that hold two nodes or more."""
+    """The rows whose region at least depth holds two nodes or more; ``wide``: so many that the rounds may leave pairs of it untried."""
     rows = regions(nodes)
-    shared = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
-    return rows.join(shared, "region").select("region", "chunk", "order", F.struct("set_id", "n_shingles").alias("it"))
+    shared = rows.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base", (F.col("n") > REGION).alias("wide"))
+    return rows.join(shared, "base").select("base", "wide", "region", "chunk", "order", F.struct("set_id", "n_shingles").alias("it"))
 
 
 def as_pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -172,6 +174,51 @@ def later_pairs(crowd: DataFrame, roots: DataFrame, links: DataFrame, percent: i
     return as_pairs(near.union(linked).where(F.col("root") != F.col("other.root")).select("it", F.col("other.it").alias("with")), percent)
 
 
+def unsettled(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """set_id, n_shingles and root of the nodes of wide regions that hold several components."""
+    rows = crowd.where("wide").join(roots, F.col("it.set_id") == F.col("node"), "left").select("base", "it.set_id", "it.n_shingles", F.coalesce("root", "it.set_id").alias("root"))
+    several = rows.groupBy("base").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("base")
+    return rows.join(several, "base").select("set_id", "n_shingles", "root").distinct()
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """set_id, n_shingles, root, item and place: of each node the items in its prefix that other nodes hold too.
+
+    A node's items are in the order of how many nodes hold them, so those of its own come first; places count from 1.
+    """
+
+    def unpacked(batches):
+        for batch in batches:
+            items = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["set_id", "items"])
+
+    whole = sets.join(nodes, "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "items")
+    each = whole.mapInArrow(unpacked, "set_id long, items array<long>").select("set_id", F.explode("items").alias("item"))
+    held = materialize(each.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    # Spark takes exploded rows to be as small as the sets that they come from, and must not broadcast them.
+    shared = each.hint("merge").join(held, "item").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("items"))
+    own = F.col("n_shingles") - F.size("items")
+    length = F.expr(f"n_shingles + 1 - ({percent} * n_shingles + 99) div 100")
+    rows = nodes.join(shared, "set_id").withColumns({"own": own, "items": F.slice("items", F.lit(1), F.greatest(length - own, F.lit(0)).cast("int"))})
+    return rows.select("set_id", "n_shingles", "root", "own", F.posexplode("items").alias("at", "x")).select("set_id", "n_shingles", "root", F.col("x.item").alias("item"), (F.col("own") + F.col("at") + 1).alias("place"))
+
+
+def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs a < b of different roots that can have the similarity, by a prefix-filter join.
+
+    In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
+    and b - o + 1 at most; the smaller set of a pair is met in the shorter prefix that its own size allows.
+    """
+    rows = materialize(prefixes(nodes, sets, percent), "prefixes")
+    short = rows.where(f"(n_shingles + 1 - place) * {100 + percent} >= {2 * percent} * n_shingles")
+    s, t = (F.struct("n_shingles", "set_id", "place", "root").alias(c) for c in "st")
+    both = short.select("item", s).hint("merge").join(rows.select("item", t), "item")
+    able = (F.struct("s.n_shingles", "s.set_id") < F.struct("t.n_shingles", "t.set_id")) & (F.col("s.root") != F.col("t.root")) & F.expr(f"100 * s.n_shingles >= {percent} * t.n_shingles")
+    left = F.least(F.expr("s.n_shingles - s.place"), F.expr("t.n_shingles - t.place"))
+    able &= (1 + left) * (100 + percent) >= percent * (F.col("s.n_shingles") + F.col("t.n_shingles"))
+    return both.where(able).select(F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b")).distinct()
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in ``LEAST_AGREED`` values or more."""
 
@@ -218,6 +265,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         if found.isEmpty():
             break
         links, tried = links.unionByName(found), tried.unionByName(new)
+    open_nodes = materialize(unsettled(crowd, roots), "unsettled")
+    if not open_nodes.isEmpty():
+        new = materialize(exact_pairs(open_nodes, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(confirmed(plausible(new, nodes), sets, percent), "confirmed")
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
     roots = roots.withColumnRenamed("node", "set_id")
     rooted = nodes.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id")

@@ -294,6 +294,32 @@ def test_near_duplicates_of_a_hub_whose_copies_differ(spark):
     assert out == expected
 
 
+def template_corpus(n, twins, seed=5):
+    """``n`` texts of one template under the bound of each other, and copies of the first ``twins`` of them just over it."""
+    import random
+
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(86)]
+    data = [(i, template + [f"d{i}x{k}" for k in range(14)]) for i in range(n)]
+    for i in range(twins):
+        words = list(data[i][1])
+        for at in (rng.randrange(5, 80), rng.randrange(88, 95)):
+            words[at] = f"new{i}x{at}"
+        data.append((n + i, words))
+    return [(i, " ".join(words)) for i, words in data]
+
+
+def test_near_duplicates_of_a_template_in_crowded_regions(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION", 20)
+    monkeypatch.setattr(near_dup, "REACH", 2)
+    monkeypatch.setattr(near_dup, "HEADS", 1)
+    data = template_corpus(600, 80)
+    expected, _ = brute_components(data, 5)
+    assert sum(a != c for a, c in expected.items()) == 80
+    out = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == expected
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
