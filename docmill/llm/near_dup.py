@@ -9,8 +9,9 @@ their first nodes. Candidates are the sorted neighbours and the first node of a
 in proportion to the nodes, never with the square of a group. Every candidate is confirmed on full sets.
 Where a region then still holds several components, a further round looks farther back in the order and
 at the most linked nodes of the other components, until a round confirms nothing new. Going deeper
-separates nodes that are linked, so the nodes of regions that were too large at least depth and hold
-several components at the end are joined once more by an exact prefix filter on their rarest shingles.
+separates nodes that are linked, and the rounds look only so far back, so the nodes of regions that at
+least depth are wider than the rounds reach and hold several components at the end are joined once more
+by an exact prefix filter on their rarest shingles.
 
 Links are transitive: a document's component is named by the smallest id reachable. With 16 trees of
 least depth 3 two sets of similarity 0.8 share no region with probability (1 - 0.8 ** 3) ** 16, 1e-5.
@@ -132,7 +133,7 @@ def regions(nodes: DataFrame) -> DataFrame:
 def crowds(nodes: DataFrame) -> DataFrame:
     """The rows whose region at least depth holds two nodes or more; ``wide``: so many that the rounds may leave pairs of it untried."""
     rows = regions(nodes)
-    shared = rows.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base", (F.col("n") > REGION).alias("wide"))
+    shared = rows.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base", (F.col("n") > min(REACH + 1, REGION)).alias("wide"))
     return rows.join(shared, "base").select("base", "wide", "region", "chunk", "order", F.struct("set_id", "n_shingles").alias("it"))
 
 

@@ -320,6 +320,14 @@ def test_near_duplicates_of_a_template_in_crowded_regions(spark, monkeypatch):
     assert out == expected
 
 
+def test_near_duplicates_of_a_template_beyond_the_reach(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REACH", 2)
+    monkeypatch.setattr(near_dup, "HEADS", 1)
+    data = template_corpus(600, 80)  # its regions aren't crowded
+    out = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == brute_components(data, 5)[0]
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
