@@ -67,15 +67,24 @@ def dedup_stats(flags: DataFrame, *by: str) -> DataFrame:
     return out.withColumns({"unique_docs": F.col("total") - F.col("duplicates"), "duplicate_rate": F.col("duplicates") / F.col("total")})
 
 
-def semantic_duplicates(docs: DataFrame, known: DataFrame, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text", vector_col: str = "embedding") -> DataFrame:
+def semantic_duplicates(docs: DataFrame, known: DataFrame, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text", vector_col: str = "embedding", others: bool = False) -> DataFrame:
     """id, original_id and method of documents that a known one matches: by hash first, then by the best cosine of ``least`` or more.
 
-    Texts under ``LEAST_CHARS`` are never duplicates; an id that is known is a duplicate of itself.
+    Texts under ``LEAST_CHARS`` are never duplicates; an id that is known is a duplicate of itself, or with
+    ``others`` only of known rows of other ids.
     """
     long = docs.where(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) >= LEAST_CHARS).withColumn("_hash", content_hash(text_col))
-    seen = known.groupBy(content_hash(text_col).alias("_hash")).agg(F.min(id_col).alias("original_id"))
+    keys = known.select(content_hash(text_col).alias("_hash"), F.col(id_col).alias("_known"))
+    seen = keys.groupBy("_hash").agg(F.min("_known").alias("original_id"))
     itself = docs.join(known.select(id_col), id_col, "left_semi").select(id_col, F.col(id_col).alias("original_id"), F.lit("id").alias("method"))
-    equal = long.join(itself.select(id_col), id_col, "left_anti").join(seen, "_hash").select(id_col, "original_id", F.lit("hash").alias("method"))
+    if others:
+        itself = itself.where("false")
+        second = keys.join(seen, "_hash").where("_known != original_id").groupBy("_hash").agg(F.min("_known").alias("_second"))
+        seen = seen.join(second, "_hash", "left")
+        original = F.when(F.col(id_col) == F.col("original_id"), F.col("_second")).otherwise(F.col("original_id"))
+    else:
+        original = F.col("original_id")
+    equal = long.join(itself.select(id_col), id_col, "left_anti").join(seen, "_hash").select(id_col, original.alias("original_id"), F.lit("hash").alias("method")).where("original_id IS NOT NULL")
     rest = long.join(itself.union(equal).select(id_col), id_col, "left_anti").select(id_col, vector_col)
     best = similar_vectors(known.select(id_col, vector_col), rest, 1, least, id_col, vector_col)
     near = best.select(F.col("query_id").alias(id_col), F.col(id_col).alias("original_id"), F.lit("vector").alias("method"))

@@ -172,6 +172,13 @@ def validation_findings(spark, sf_dir):
     return out.where("f.rule <> 'title_like_content'").select("doc_id", F.concat_ws(":", "f.field", "f.rule").alias("finding"))
 
 
+@query()
+def validation_findings_of_all_rules(spark, sf_dir):
+    """With the findings of title_like_content, a similarity that SQL lacks."""
+    out = validate.validate(_titled(spark, sf_dir)).select("doc_id", F.explode("findings").alias("f"))
+    return out.select("doc_id", F.concat_ws(":", "f.field", "f.rule").alias("finding"))
+
+
 def _titled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("content"), F.when(F.col("source") != "src0", F.col("source")).alias("author"))
@@ -193,7 +200,7 @@ SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE t
 FROM documents JOIN s USING (doc_id) WHERE text = trim(text)
 """)
 def descriptions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text") == F.trim("text"))
+    docs = table(spark, sf_dir, "documents")
     cleaned = F.regexp_replace(F.regexp_replace("text", r"(?U)\s+", " "), "<[^>]+>", "")
     return docs.select("doc_id", text.truncate("text").alias("description"), F.sha2(cleaned, 256).alias("cleaned"), (F.length(text.squeeze("text")) <= 200).alias("is_short"))
 
@@ -202,7 +209,7 @@ def descriptions(spark, sf_dir):
 def standard_fields(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     first = F.split("text", "\n")[0]
-    return docs.select("doc_id", text.standard_title(first).alias("title"), F.sha2(text.summary("text"), 256).alias("summary"), F.array_join(text.standard_tags(F.split(F.left(first, F.lit(80)), " ")), ",").alias("tags"))
+    return docs.select("doc_id", text.standard_title(first).alias("title"), F.sha2(text.summary("text"), 256).alias("summary"), F.array_join(text.standard_tags(F.split(first, " ")), ",").alias("tags"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain FROM pages")
@@ -224,7 +231,7 @@ def html_links(spark, sf_dir):
 
 @query("SELECT page_id, CASE WHEN strlen(html) < 1024 THEN printf('%.1f B', strlen(html)::DOUBLE) ELSE printf('%.1f KB', strlen(html) / 1024.0) END AS size FROM pages WHERE strlen(html) < 1048576")
 def page_sizes(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("n")).where("n < 1048576")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").alias("n"))
     return pages.select("page_id", text.human_size("n").alias("size"))
 
 

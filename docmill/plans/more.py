@@ -125,4 +125,4 @@ def domain_then_user_limits(spark, sf_dir):
 @query()
 def semantic_matches(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("a text that is long enough to be compared "), F.col("label").cast("string"), F.lit(" and unique "), F.col("vec_id").cast("string")))
-    return dedup.semantic_duplicates(rows.where("vec_id % 20 = 0"), rows.where("vec_id % 20 <> 0"), 0.3, "vec_id")
+    return dedup.semantic_duplicates(rows.where("vec_id % 20 = 0"), rows, 0.3, "vec_id", others=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import terms
 from docmill.operators import dedup, folds, monitoring
+from docmill.plans import documents, more
 
 LONG = "A sentence that is certainly long enough to count as a document, {}."
 
@@ -48,3 +49,24 @@ def test_states_storage_and_results(spark):
     got = monitoring.results_of(rows.select(F.col("i").alias("id")), spark.createDataFrame([(1, "x")], "id long, v string"), "id", "v").collect()
     assert {r.id: r.error for r in got} == {0: "no result", 1: None, 2: "no result", 3: "no result", 4: "no result"}
     assert monitoring.alive(spark.createDataFrame([(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 2),)], "ts timestamp"), "ts", "2024-01-02 00:30:00", 3600).count() == 1
+
+
+def test_queries_take_all_rows(spark, tmp_path):
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    line = " ".join(f"word{i:02}" for i in range(20))
+    same = "A single line that is its own title and quite long enough."
+    write([(1, line, "en", "s"), (2, "  outer blanks ", "en", "s"), (3, None, "en", "s"), (4, same, "en", "s")], "doc_id long, text string, lang string, source string", "documents")
+    write([(1, "x" * 1023), (2, "x" * 1024), (3, "x" * (3 << 19)), (4, None)], "page_id long, html string", "pages")
+    assert {r.page_id: r.size for r in documents.page_sizes(spark, tmp_path).collect()} == {1: "1023.0 B", 2: "1.0 KB", 3: "1.5 MB", 4: None}
+    assert {r.doc_id: (r.description, r.is_short) for r in documents.descriptions(spark, tmp_path).collect()} == {1: (line, True), 2: ("  outer blanks ", True), 3: (None, None), 4: (same, True)}
+    assert {r.doc_id: r.tags for r in documents.standard_fields(spark, tmp_path).collect()}[1] == line.replace(" ", ",")
+    assert (4, "title:title_like_content") in {tuple(r) for r in documents.validation_findings_of_all_rules(spark, tmp_path).collect()}
+
+    vectors = {0: [1.0, 0.0, 0.0], 20: [0.9, 0.1, 0.0], 40: [0.0, 0.0, 1.0], 41: [0.0, 1.0, 0.0], 43: [0.5, 0.5, 0.0]}
+    write([(i, v, 0) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int", "embeddings")
+    assert {tuple(r) for r in more.semantic_matches(spark, tmp_path).collect()} == {(0, 20, "vector"), (20, 0, "vector")}
+
+
+def test_semantic_duplicates_of_other_rows(spark):
+    rows = spark.createDataFrame([(1, LONG.format("x"), [1.0, 0.0]), (2, LONG.format("X"), [0.0, 1.0]), (3, LONG.format("y"), [0.1, 1.0])], "doc_id long, text string, embedding array<float>")
+    assert {tuple(r) for r in dedup.semantic_duplicates(rows, rows, 0.9, others=True).collect()} == {(1, 2, "hash"), (2, 1, "hash"), (3, 2, "vector")}
