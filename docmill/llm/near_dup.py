@@ -7,11 +7,11 @@ longest common prefixes. A region with too many nodes goes one value deeper, aga
 still too large at full depth holds all but equal sets, and is cut into chunks that are linked through
 their first nodes. Candidates are the sorted neighbours and the first node of a region, so they grow
 in proportion to the nodes, never with the square of a group. Every candidate is confirmed on full sets.
-Where a region then still holds several components, a further round looks farther back in the order and
-at the most linked nodes of the other components, until a round confirms nothing new. Going deeper
-separates nodes that are linked, and the rounds look only so far back, so the nodes of regions that at
-least depth are wider than the rounds reach and hold several components at the end are joined once more
-by an exact prefix filter on their rarest shingles.
+Where a region then still holds several components, each node meets the last one before it of another
+component, and the most linked nodes of components that follow each other meet: again a candidate or two
+a node. What still isn't one component goes the exact way: all nodes that share a region at least depth
+with a node of another component, whatever its size, are joined by a prefix filter on their rarest
+shingles, and these candidates are confirmed on full sets without a look at signatures.
 
 Links are transitive: a document's component is named by the smallest id reachable. With 16 trees of
 least depth 3 two sets of similarity 0.8 share no region with probability (1 - 0.8 ** 3) ** 16, 1e-5.
@@ -36,9 +36,7 @@ TREES, LEAST_DEPTH, MOST_DEPTH = 16, 3, 8
 #: Nodes of a region above which it goes deeper, and of a chunk at full depth.
 REGION = 1000
 VALUES = TREES * LEAST_DEPTH
-#: In regions that hold several components: sorted places that later rounds look back, and components whose most linked node is tried.
-REACH, HEADS = 32, 8
-#: Values of ``VALUES`` in which two signatures agree at least; at similarity 0.8 fewer agree once in 100,000 pairs.
+#: Values of ``VALUES`` in which two signatures agree at least before full sets are read; at similarity 0.8 fewer agree once in 100,000 pairs.
 LEAST_AGREED = 26
 #: Odd factors and additions of the hash functions, from a fixed seed.
 _draw = np.random.default_rng(20240229)
@@ -131,10 +129,10 @@ def regions(nodes: DataFrame) -> DataFrame:
 
 
 def crowds(nodes: DataFrame) -> DataFrame:
-    """The rows whose region at least depth holds two nodes or more; ``wide``: so many that the rounds may leave pairs of it untried."""
+    """The rows whose region at least depth holds two nodes or more."""
     rows = regions(nodes)
-    shared = rows.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base", (F.col("n") > min(REACH + 1, REGION)).alias("wide"))
-    return rows.join(shared, "base").select("base", "wide", "region", "chunk", "order", F.struct("set_id", "n_shingles").alias("it"))
+    shared = rows.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base")
+    return rows.join(shared, "base").select("base", "region", "chunk", "order", F.struct("set_id", "n_shingles").alias("it"))
 
 
 def as_pairs(found: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +154,7 @@ def first_pairs(crowd: DataFrame, percent: int) -> DataFrame:
 
 
 def later_pairs(crowd: DataFrame, roots: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """In regions with nodes of several components: pairs across them within ``REACH`` places, and each node with the most linked nodes of the ``HEADS`` most linked components."""
+    """In regions with nodes of several components: each node with the last one before it of another component, and the most linked node of each component with that of the next one."""
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     known = roots.join(degrees, "node", "left")
     rows = crowd.join(known, F.col("it.set_id") == F.col("node"), "left").select(
@@ -165,19 +163,19 @@ def later_pairs(crowd: DataFrame, roots: DataFrame, links: DataFrame, percent: i
     mixed_up = rows.groupBy("region", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("region", "chunk")
     rows = materialize(rows.join(mixed_up, ["region", "chunk"]), "mixed")
     place = Window.partitionBy("region", "chunk")
-    other = F.struct("root", "it")
-    back = F.collect_list(other).over(place.orderBy("order", "it").rowsBetween(-REACH, -1))
-    near = rows.select("it", "root", back.alias("others")).select("it", "root", F.explode("others").alias("other"))
-    best = rows.groupBy("region", "chunk", "root").agg(F.max(F.struct("degree", "it")).alias("best"))
-    heads = best.withColumn("nth", F.row_number().over(place.orderBy(F.desc("best"), "root"))).where(F.col("nth") <= HEADS)
-    heads = heads.select("region", "chunk", F.struct("root", F.col("best.it").alias("it")).alias("other"))
-    linked = rows.join(heads, ["region", "chunk"]).select("it", "root", "other")
-    return as_pairs(near.union(linked).where(F.col("root") != F.col("other.root")).select("it", F.col("other.it").alias("with")), percent)
+    sorted_place = place.orderBy("order", "it")
+    # Where the component changes, the row before is of another one, and stays the last such row until the next change.
+    turn = rows.select("*", F.lag("root").over(sorted_place).alias("before_root"), F.lag("it").over(sorted_place).alias("before"))
+    other = F.last(F.when(F.col("before_root") != F.col("root"), F.col("before")), ignorenulls=True).over(sorted_place)
+    near = turn.select("it", other.alias("with")).where("with IS NOT NULL")
+    best = rows.groupBy("region", "chunk", "root").agg(F.max(F.struct("degree", "it")).alias("best")).select("region", "chunk", "root", F.col("best.it").alias("it"))
+    heads = best.select("it", F.lag("it").over(place.orderBy("root")).alias("with")).where("with IS NOT NULL")
+    return as_pairs(near.union(heads), percent)
 
 
 def unsettled(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """set_id, n_shingles and root of the nodes of wide regions that hold several components."""
-    rows = crowd.where("wide").join(roots, F.col("it.set_id") == F.col("node"), "left").select("base", "it.set_id", "it.n_shingles", F.coalesce("root", "it.set_id").alias("root"))
+    """set_id, n_shingles and root of the nodes of regions at least depth that hold several components."""
+    rows = crowd.join(roots, F.col("it.set_id") == F.col("node"), "left").select("base", "it.set_id", "it.n_shingles", F.coalesce("root", "it.set_id").alias("root"))
     several = rows.groupBy("base").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("base")
     return rows.join(several, "base").select("set_id", "n_shingles", "root").distinct()
 
@@ -209,11 +207,17 @@ def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
     and b - o + 1 at most; the smaller set of a pair is met in the shorter prefix that its own size allows.
+    Nodes of the root that holds an item most often never meet each other under it, so a large component
+    costs what it shares with others and not its square.
     """
     rows = materialize(prefixes(nodes, sets, percent), "prefixes")
+    held = rows.groupBy("item", "root").agg(F.count("*").alias("n")).groupBy("item")
+    most = held.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("item", "most")
+    rows = materialize(rows.join(most, "item").withColumn("often", F.col("root") == F.col("most")).drop("most"), "shared")
     short = rows.where(f"(n_shingles + 1 - place) * {100 + percent} >= {2 * percent} * n_shingles")
     s, t = (F.struct("n_shingles", "set_id", "place", "root").alias(c) for c in "st")
-    both = short.select("item", s).hint("merge").join(rows.select("item", t), "item")
+    meets = F.explode(F.when(F.col("often"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("often")
+    both = short.select("item", meets, s).hint("merge").join(rows.select("item", "often", t), ["item", "often"])
     able = (F.struct("s.n_shingles", "s.set_id") < F.struct("t.n_shingles", "t.set_id")) & (F.col("s.root") != F.col("t.root")) & F.expr(f"100 * s.n_shingles >= {percent} * t.n_shingles")
     left = F.least(F.expr("s.n_shingles - s.place"), F.expr("t.n_shingles - t.place"))
     able &= (1 + left) * (100 + percent) >= percent * (F.col("s.n_shingles") + F.col("t.n_shingles"))
@@ -257,19 +261,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     needed = crowd.select("it.set_id").distinct().join(nodes, "set_id").select(F.col("least").alias("_id")).distinct()
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(needed, "_id", "left_semi")
     sets = materialize(full_sets(texts, width, "text"), "sets")
-    tried = materialize(first_pairs(crowd, percent), "pairs")
-    links = materialize(confirmed(plausible(tried, nodes), sets, percent), "confirmed")
-    while True:  # ends: each round but the last joins components
+    tried = materialize(plausible(first_pairs(crowd, percent), nodes), "pairs")
+    links = materialize(confirmed(tried, sets, percent), "links")
+    roots = components(links)
+    more = materialize(plausible(later_pairs(crowd, roots, links, percent).join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
+    found = materialize(confirmed(more, sets, percent), "links")
+    if not found.isEmpty():
+        links, tried = links.unionByName(found), tried.unionByName(more)
         roots = components(links)
-        new = materialize(later_pairs(crowd, roots, links, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirmed(plausible(new, nodes), sets, percent), "confirmed")
-        if found.isEmpty():
-            break
-        links, tried = links.unionByName(found), tried.unionByName(new)
     open_nodes = materialize(unsettled(crowd, roots), "unsettled")
     if not open_nodes.isEmpty():
-        new = materialize(exact_pairs(open_nodes, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirmed(plausible(new, nodes), sets, percent), "confirmed")
+        found = materialize(confirmed(exact_pairs(open_nodes, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
     roots = roots.withColumnRenamed("node", "set_id")

@@ -311,8 +311,6 @@ def template_corpus(n, twins, seed=5):
 
 def test_near_duplicates_of_a_template_in_crowded_regions(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "REGION", 20)
-    monkeypatch.setattr(near_dup, "REACH", 2)
-    monkeypatch.setattr(near_dup, "HEADS", 1)
     data = template_corpus(600, 80)
     expected, _ = brute_components(data, 5)
     assert sum(a != c for a, c in expected.items()) == 80
@@ -320,9 +318,7 @@ def test_near_duplicates_of_a_template_in_crowded_regions(spark, monkeypatch):
     assert out == expected
 
 
-def test_near_duplicates_of_a_template_beyond_the_reach(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "REACH", 2)
-    monkeypatch.setattr(near_dup, "HEADS", 1)
+def test_near_duplicates_of_a_template_beyond_the_neighbours(spark):
     data = template_corpus(600, 80)  # its regions aren't crowded
     out = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert out == brute_components(data, 5)[0]
