@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import by_size, text_or_empty
+from docmill.llm.common import by_size, sliced, text_or_empty
 
 #: Characters encoded at once, and words whose ids a task remembers.
 BATCH_CHARS, CACHED_WORDS, LONGEST_CACHED = 1 << 19, 200_000, 48
-#: Rows of an Arrow batch that are turned into Python objects at a time, and words given to the tokenizer at once.
-SLICE_ROWS, WORDS_AT_ONCE = 500, 4096
+#: Words given to the tokenizer at once.
+WORDS_AT_ONCE = 4096
 #: The splitting pattern that byte-level pre-tokenizers use when their file names none (a fixed value).
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -177,11 +177,6 @@ def pieces_of(ids: bytes, table: list[bytes]) -> list[str]:
     return [*out[:-1], out[-1] + rest] if out and rest else out
 
 
-def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts, so that a task's Python objects stay small beside it."""
-    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
-
-
 def _over_arrow(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return lambda batches: (work(part) for b in batches for part in sliced(b))
 

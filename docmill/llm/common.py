@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE_ROWS = 500
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -56,3 +62,8 @@ def by_size(texts: list[str], most: int) -> list[tuple[int, int]]:
             begin, chars = at, 0
         chars += len(text)
     return [*ranges, (begin, len(texts))] if texts else []
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that a task's Python objects stay small beside it."""
+    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.bpe import encoder, in_merge_order, sliced
-from docmill.llm.common import materialize, text_or_empty
+from docmill.llm.bpe import encoder, in_merge_order
+from docmill.llm.common import materialize, sliced, text_or_empty
 
 #: Length classes of the linear program, its rounds and step, and the gap at which it ends.
 CLASSES, ROUNDS, STEP, GAP = 128, 4000, 0.1, 0.01
@@ -32,8 +32,8 @@ CLASSES, ROUNDS, STEP, GAP = 128, 4000, 0.1, 0.01
 SLACK = 1
 #: Multiples of the fractional solution that are rounded down.
 SHARES = (1.0, 0.5, 0.2, 0.05)
-#: Salted groups by which ranks are counted: this many over all lengths, beside one for each length.
-RANK_GROUPS, LEAST_GROUP = 4096, 64
+#: Salted groups by which ranks are counted: about this many over all lengths, beside one for each length, and rows of a group.
+RANK_GROUPS, LEAST_GROUP, MOST_GROUP = 4096, 64, 100_000
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -234,10 +234,10 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, i
     cut = materialize(pieces(df, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     total = sum(counts.values())
-    group = max(LEAST_GROUP, -(-total // RANK_GROUPS))
+    group = min(max(LEAST_GROUP, -(-total // RANK_GROUPS)), MOST_GROUP)
     salts = spark.createDataFrame([(k, -(-n // group)) for k, n in counts.items()], "length long, salts long")
     salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(id, piece, ids_crc32), salts)"))
-    # At most capacity + RANK_GROUPS rows.
+    # A row for each group: at most capacity + RANK_GROUPS, or one for MOST_GROUP rows.
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"])
     groups["first"] = groups.groupby("length")["n"].cumsum() - groups["n"]
     firsts = spark.createDataFrame([tuple(map(int, r)) for r in groups[["length", "salt", "first"]].itertuples(index=False)], "length long, salt long, first long")

@@ -32,7 +32,7 @@ def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that each document loses to an earlier line within one edit."""
+    """The lines that each document loses to an earlier copy, or from 32 characters on to an earlier line within one edit."""
     from docmill.llm import line_dedup
 
     return line_dedup.line_counts(table(spark, sf_dir, "documents"))
@@ -40,9 +40,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the digests of ids and of what they decode to."""
+    import public_tokenizers
+
     from docmill.llm import bpe
 
-    tokenizer = bpe.tokenizer_of_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"), bpe.GPT_PATTERN)
+    tokenizer = bpe.tokenizer_of_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -73,7 +75,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: the base spans and the tokens that only few owners hold."""
+    """Secrets of every document: the base spans and the tokens that only few owners hold in few documents."""
     from docmill.llm import secrets
 
     rows = secrets.scan(table(spark, sf_dir, "documents"))
@@ -123,13 +125,13 @@ OP2_SQL = """
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
-), part AS (SELECT * FROM lines WHERE length(line) >= 32),
+), part AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ \\t-\\r]')),
 firsts AS (
   SELECT line, length(line) AS chars, min((doc_id, line_no)) AS first FROM part GROUP BY line
 ), halves AS (
-  SELECT line, chars, first, least, 0 AS side, left(line, (least // 2)::INT) AS half FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts)
+  SELECT line, chars, first, least, 0 AS side, left(line, (least // 2)::INT) AS half FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts WHERE chars >= 32)
   UNION ALL
-  SELECT line, chars, first, least, 1, right(line, (least // 2)::INT) FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts)
+  SELECT line, chars, first, least, 1, right(line, (least // 2)::INT) FROM (SELECT *, unnest([chars, chars - 1]) AS least FROM firsts WHERE chars >= 32)
 ), near AS (
   SELECT DISTINCT b.line FROM halves a JOIN halves b
   ON a.side = b.side AND a.half = b.half AND a.least = b.least AND a.first < b.first AND levenshtein(a.line, b.line) = 1
@@ -154,7 +156,7 @@ WITH hits AS (
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
   UNION ALL SELECT doc_id, source, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
   UNION ALL SELECT doc_id, source, 'hex', 2, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
-  UNION ALL SELECT doc_id, source, 'token', 3, string_split_regex(t, '[A-Za-z0-9+/_-]{32,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{32,}', 0), regexp_extract_all(t, '[A-Za-z0-9+/_-]{32,}', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+  UNION ALL SELECT doc_id, source, 'token', 3, string_split_regex(t, '[A-Za-z0-9+/_-]{24,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}', 0), regexp_extract_all(t, '[A-Za-z0-9+/_-]{24,}', 0) FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 ), each AS (
   SELECT doc_id, source, kind, nth, unnest(found) AS m, unnest(vals) AS v, unnest(gaps[:len(found)]) AS gap, unnest(range(1, len(found) + 1)) AS i FROM hits WHERE len(found) > 0
 ), placed AS (
@@ -162,8 +164,8 @@ WITH hits AS (
 ), spans AS (
   SELECT doc_id, source, kind, nth, v, e - n AS s, e FROM placed
   WHERE length(v) >= 6 AND CASE kind WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
-    WHEN 'token' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END
-), owned AS (SELECT v, count(DISTINCT source) <= 2 AS live FROM spans GROUP BY v),
+    WHEN 'token' THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND NOT starts_with(v, 'AKIA') ELSE true END
+), owned AS (SELECT v, count(DISTINCT source) <= 2 AND count(DISTINCT doc_id) <= 5 AS live FROM spans GROUP BY v),
 reported AS (SELECT * FROM spans JOIN owned USING (v) WHERE nth < 3 OR live),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
@@ -200,11 +202,15 @@ WITH cut AS (
     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule,
-    regexp_extract(host || path, '^(?:[^/]*[.-])?(adult|bets|casino|pills|porn|spam|viagra)(?:[.-]|/|$)', 1) AS word FROM parts
+    lower(host || path) AS place FROM parts
+), patterns(pattern, regex) AS (VALUES
+  ('-pills.', '-pills\.'), ('/sponsored/*/redirect|', '(?s)/sponsored/.*/redirect$'), ('@@||casino-museum.', '^([^/]*\.)?casino-museum\.'), ('||ads-track.', '^([^/]*\.)?ads-track\.'),
+  ('||ads.', '^([^/]*\.)?ads\.'), ('||casino-*.', '(?s)^([^/]*\.)?casino-.*\.'), ('||free-bets.', '^([^/]*\.)?free-bets\.'), ('||spam-*.example.', '(?s)^([^/]*\.)?spam-.*\.example\.')
+), hits AS (
+  SELECT page_id, arg_min(pattern, (NOT starts_with(pattern, '@@'), pattern)) AS pattern FROM (SELECT DISTINCT page_id, place FROM ruled WHERE rule IS NULL) JOIN patterns ON regexp_matches(place, regex) GROUP BY page_id
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN word <> '' THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN rule IS NULL AND word <> '' THEN 'host word ' || word END AS pattern
-FROM ruled
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') OR starts_with(pattern, '@@') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
+FROM ruled LEFT JOIN hits USING (page_id)
 """
 
 OP8_SQL = r"""
@@ -227,10 +233,10 @@ m AS (
 ), moments AS (
   SELECT least(greatest(sum(bad) / sum(n), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS mean, sum(n * (bad / n) * (bad / n)) / sum(n) AS square, count(*) / sum(n) AS hosts FROM hosts
 ), prior AS (
-  SELECT mean, greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * hosts, 1e-6::DOUBLE) - 1, 2.0::DOUBLE) AS strength FROM moments
-), rates AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate FROM hosts, prior)
+  SELECT mean, CASE WHEN square - mean * mean - mean * (1 - mean) * hosts > 0 THEN least(greatest(mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * hosts) - 1, 2.0::DOUBLE), 1000.0::DOUBLE) ELSE 10.0::DOUBLE END AS strength FROM moments
+), rates AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate, 3.0::DOUBLE * mean / (1 - mean + 3.0::DOUBLE * mean) AS bound FROM hosts, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  base_failed, NOT base_failed AND NOT (host_rate > 0.5 AND soft_failed) AS kept, round(host_rate, 9) AS host_rate
+  base_failed, NOT base_failed AND NOT (host_rate > bound AND soft_failed) AS kept, round(host_rate, 9) AS host_rate
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 
