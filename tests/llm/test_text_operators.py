@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.llm import bpe, line_dedup, near_dup, packing, quality, secrets, sharding
 from docmill.llm.queries import vocabulary
@@ -80,10 +81,26 @@ def test_sharding_splits_a_text_that_outweighs_a_shard(spark):
 
 
 def test_sharding_write(spark, docs, tmp_path):
-    unique = docs.dropDuplicates(["doc_id"])
-    sharding.write_shards(unique, str(tmp_path / "out"), 4)
+    odd = docs.unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    sharding.write_shards(odd, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == unique.count() and back.select("_shard").distinct().count() == 4
+    assert back.select("_shard").distinct().count() == 4 and back.drop("_shard").columns == odd.columns
+    assert Counter(map(tuple, back.drop("_shard").collect())) == Counter(map(tuple, odd.collect()))
+    assert Counter((r.doc_id, r._shard) for r in back.collect()) == Counter((r.doc_id, r.shard) for r in sharding.assign(odd, 4).collect())
+
+
+def test_sharding_subdivides_overfull_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SAMPLES", 2)  # so coarse a sample leaves ranges overfull
+    monkeypatch.setattr(sharding, "RANGES", 4)
+    df = spark.createDataFrame([(i, f"text {i} " * (1 + i % 40)) for i in range(4000)], "doc_id long, text string")
+    rows = sharding.row_sizes(df, "doc_id", "text").cache()
+    total = rows.agg(F.sum("size")).first()[0]
+    first = sharding.splitters(rows, total, 32, 1)
+    more = sharding.subdivided(rows, first, total, 4000, 32, 1)
+    most = lambda bounds: max(r.b for r in rows.groupBy(sharding.range_of(bounds)("key").alias("r")).agg(F.sum("size").alias("b")).collect())
+    assert most(first) > sharding.OVERFULL * total / 32 >= most(more) and set(first) < set(more)
+    loads = [r.b for r in sharding.assign(df, 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 8 and max(loads) < 1.3 * min(loads)
 
 
 def brute_quality(text):
@@ -123,7 +140,17 @@ def test_host_prior_shrinks_small_hosts(spark):
     out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert out[100].host_bad and not out[100].kept  # a soft failure on a condemned host
     assert out[401].kept  # a clean document stays wherever it is
-    assert out[400].host_rate < 1 and out[0].kept
+    assert out[400].host_rate < 1 and not out[400].host_bad and out[0].kept  # one document condemns no host
+    assert sum(r.kept != (not r.base_failed) for r in out.values()) == 30  # what the hosts' verdicts change
+
+
+def test_prior():
+    assert quality.prior(0, 0, 0.0, 0) == (1.0, 1.0)
+    alike = quality.prior(20, 100, 100 * 0.04, 2)  # both hosts at the mean: chance explains more
+    assert sum(alike) == pytest.approx(quality.PLAIN_STRENGTH) and alike[0] / sum(alike) == pytest.approx(0.2)
+    apart = quality.prior(50, 100, 50.0, 2)  # one host fails wholly, one never
+    assert sum(apart) == 2.0
+    assert sum(quality.prior(500_000, 1_000_000, 250_001.0, 2)) <= quality.MOST_STRENGTH
 
 
 def spans_by_hand(text):
@@ -134,19 +161,20 @@ def spans_by_hand(text):
             found.append((m.start(), 0, m.end(), m.group(2)))
     found += [(m.start(), 1, m.end(), m.group()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
     found += [(m.start(), 2, m.end(), m.group()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
-    for m in re.finditer(r"[A-Za-z0-9+/_-]{32,}", text):
-        if all(re.search(c, m.group()) for c in ("[0-9]", "[a-z]", "[A-Z]")):
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", text):
+        if all(re.search(c, m.group()) for c in ("[0-9]", "[A-Z]")) and not m.group().startswith("AKIA"):
             found.append((m.start(), 3, m.end(), m.group()))
     return sorted(found)
 
 
 def test_secret_scan(spark, docs, rows):
-    owners = defaultdict(set)
+    owners, repositories = defaultdict(set), defaultdict(set)
     for d, t, s in rows:
         for x in spans_by_hand(t):
             owners[x[3]] |= {s} - {None}
+            repositories[x[3]].add(d)
     text_of = {d: t for d, t, _ in rows}
-    report = lambda t: [x for x in spans_by_hand(t) if x[1] < 3 or len(owners[x[3]]) <= secrets.MOST_OWNERS]
+    report = lambda t: [x for x in spans_by_hand(t) if x[1] < 3 or len(owners[x[3]]) <= secrets.MOST_OWNERS and len(repositories[x[3]]) <= secrets.MOST_REPOSITORIES]
     out = secrets.scan(docs).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -174,6 +202,25 @@ def test_secret_scan(spark, docs, rows):
     assert secrets.scan(none(spark)).count() == 0 and secrets.redact(none(spark)).count() == 0
 
 
+def test_copied_examples_are_not_live_whoever_holds_them(spark):
+    token = lambda i: f"AbC{i}" * 8
+    data = [(i, f"x {token(1)} y", "one") for i in range(9)]  # many documents of one owner
+    data += [(20 + i, f"x {token(2)} y", f"o{i}") for i in range(3)]  # three owners
+    data += [(30 + i, f"x {token(3)} y", "two") for i in range(5)] + [(35, f"x {token(3)} y", None)] * 2  # five documents and a sixth, of nobody
+    data += [(40 + i, f"x {token(4)} y", f"p{i % 2}") for i in range(4)] + [(50, None, "q"), (51, None, "q")]
+    out = {r.doc_id: len(r.spans) for r in secrets.scan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert {i for i, n in out.items() if n} == {40, 41, 42, 43} and len(out) == 24
+
+
+def test_secrets_of_a_text_of_megabytes(spark):
+    parts = [f"secret: Value{i:06d} " + "pad " * 20 for i in range(12_000)]
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    got = [(s.start, s.nth, s.end) for s in secrets.scan(df).first().spans]
+    assert got == [x[:3] for x in spans_by_hand(text)] and len(got) == 12_000
+    assert secrets.redact(df).first().text == re.sub(r"secret: Value\d+", secrets.MARK, text)
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -185,10 +232,11 @@ def brute_drops(rows, least=line_dedup.LEAST_CHARS):
     first = {}
     for d, t in sorted({(d, t) for d, t in rows if t is not None}):
         for i, line in enumerate(t.split("\n")):
-            if len(line) >= least:
+            if ascii_words(line):
                 first.setdefault(line, (d, i))
-    near = {b for b in first if any(first[a] < first[b] and a != b and within_one(a, b) for a in first)}
-    return {d: [(i, "exact" if (d, i) != first[x] else "near") for i, x in enumerate(t.split("\n")) if len(x) >= least and ((d, i) != first[x] or x in near)] for d, t in rows if t is not None}
+    long = [x for x in first if len(x) >= least]
+    near = {b for b in long if any(first[a] < first[b] and a != b and within_one(a, b) for a in long)}
+    return {d: [(i, "exact" if (d, i) != first[x] else "near") for i, x in enumerate(t.split("\n")) if x in first and ((d, i) != first[x] or x in near)] for d, t in rows if t is not None}
 
 
 def test_line_dedup(spark, docs, rows):
@@ -225,6 +273,16 @@ def test_line_dedup_edits_at_every_place_and_long_lines(spark):
     assert got == {d: ",".join(str(i) for i, _ in x) for d, x in expected.items()}
 
 
+def test_line_dedup_of_short_and_very_long_lines(spark):
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(100_000))
+    data = [(0, "short line\n\nEnd."), (1, "short line\n\nshort lino\n  \n"), (2, "End.\nEnd.\nEnd"), (3, None), (4, long), (5, long[:60_001] + long[60_002:]), (6, long[:-2] + "##")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.dropped) for r in line_dedup.line_counts(df).collect()} == {
+        0: (3, 0, 0, ""), 1: (5, 1, 0, "0"), 2: (3, 2, 0, "0,1"), 3: (0, 0, 0, ""), 4: (1, 0, 0, ""), 5: (1, 0, 1, "0"), 6: (1, 0, 0, ""),
+    }
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(df).where("doc_id < 4").collect()} == {0: data[0][1], 1: "\nshort lino\n  \n", 2: "End", 3: None}
+
+
 def shingle_set(text, width):
     w = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     w = ascii_words(w)
