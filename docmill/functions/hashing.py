@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import _col, squeeze
+from docmill.functions.text import _col, once, squeeze, strip
 
 
 def comparable(c: Column | str) -> Column:
@@ -15,9 +18,8 @@ def comparable(c: Column | str) -> Column:
 
 def content_hash(c: Column | str, algorithm: str = "sha256") -> Column:
     """Hash of the comparable form; the empty text has the empty hash."""
-    text = comparable(F.coalesce(_col(c), F.lit("")))
-    hashed = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda x: F.sha2(x, 256)}[algorithm](text)
-    return F.when(text == "", F.lit("")).otherwise(hashed)
+    hashed = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda x: F.sha2(x, 256)}[algorithm]
+    return once(comparable(F.coalesce(_col(c), F.lit(""))), lambda text: F.when(text == "", F.lit("")).otherwise(hashed(text)))
 
 
 def joined_hash(*columns: Column | str) -> Column:
@@ -39,8 +41,46 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def structure_class(length: Column) -> Column:
-    """S, M or L: the class of a single line by its length."""
-    return F.when(length < 50, "S").when(length < 100, "M").otherwise("L")
+    """S, M or L: the class of a single line by its length (fixed bounds 20 and 100)."""
+    return F.when(length <= 20, "S").when(length <= 100, "M").otherwise("L")
+
+
+def structure_similarity(a: Column, b: Column) -> Column:
+    """1 for equal classes, else the sequence ratio of the MD5 digits of the two, which is a constant of each pair."""
+    digits = {c: hashlib.md5(c.encode()).hexdigest() for c in "SML"}
+    out = F.when(a == b, 1.0)
+    for x in digits:
+        for y in digits:
+            if x != y:
+                out = out.when((a == x) & (b == y), SequenceMatcher(None, digits[x], digits[y]).ratio())
+    return out.otherwise(0.0)
+
+
+def structure(c: Column | str) -> Column:
+    """The classes of the lines that aren't blank, in order, as one string."""
+    lines = F.filter(F.transform(F.split(_col(c), "\n"), strip), lambda x: x != "")
+    return F.array_join(F.transform(lines, lambda x: structure_class(F.length(x))), "")
+
+
+def fingerprint(content: Column | str, title: Column | str | None = None, algorithm: str = "sha256") -> Column:
+    """What a document is compared by: hashes of content and title, length, words, first and last 100 characters and structure of the comparable form."""
+    title = F.lit(None).cast("string") if title is None else _col(title)
+    return once(
+        comparable(F.coalesce(_col(content), F.lit(""))),
+        lambda t: F.struct(
+            content_hash(t, algorithm).alias("content_hash"),
+            F.when(F.nullif(title, F.lit("")).isNotNull(), content_hash(title, algorithm)).alias("title_hash"),
+            F.length(t).alias("content_length"),
+            F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).alias("word_count"),
+            F.left(t, F.lit(100)).alias("first_line"),
+            F.right(t, F.lit(100)).alias("last_line"),
+            structure(t).alias("structure"),
+        ),
+    )
+
+
+#: How much the hash counts in the weighted score, and each of length, words and structure.
+WEIGHTS = (0.4, 0.2)
 
 
 def composite_similarity(hash_similarity: Column, lengths: Column, words: Column, structure: Column) -> Column:

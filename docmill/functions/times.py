@@ -66,16 +66,18 @@ def parse_cron(expression: str) -> Cron:
 
 
 def next_runs(df: DataFrame, time_col: str, expression: str, days: int = 366) -> DataFrame:
-    """``df`` and ``next_run``, the first minute after its time that the expression admits, within ``days``.
+    """``df`` and ``next_run``, the first minute after its time that the expression admits, within ``days``; null times have none.
 
-    Days are scanned first; hours and minutes of a day are a fixed list, so a row never makes a minute each.
+    The next admitted day is found once for each distinct date and joined; hours and minutes of a day are a fixed list.
     """
     cron = parse_cron(expression)
     clock = F.lit([h * 60 + m for h in cron.hour for m in cron.minute])
-    today = F.date_trunc("day", F.col(time_col))
-    minute = F.hour(time_col) * 60 + F.minute(time_col)
     ok = lambda day: F.month(day).isin(list(cron.month)) & F.dayofmonth(day).isin(list(cron.day)) & (F.dayofweek(day) - 1).isin(list(cron.weekday))
-    later = F.array_min(F.filter(clock, lambda m: m > minute))
-    day = F.array_min(F.filter(F.sequence(F.date_add(F.to_date(time_col), 1), F.date_add(F.to_date(time_col), days)), ok))
-    at = F.when(ok(F.to_date(time_col)) & later.isNotNull(), F.timestamp_add("MINUTE", later, today)).otherwise(F.timestamp_add("MINUTE", F.array_min(clock), day.cast("timestamp")))
-    return df.withColumn("next_run", at)
+    dates = df.select(F.to_date(time_col).alias("_date")).distinct()
+    later_day = F.array_min(F.filter(F.sequence(F.date_add("_date", 1), F.date_add("_date", days)), ok))
+    dates = dates.where(F.col("_date").isNotNull()).select("_date", ok(F.col("_date")).alias("_today"), later_day.alias("_day"))
+    later = F.array_min(F.filter(clock, lambda m: m > F.hour(time_col) * 60 + F.minute(time_col)))
+    at = F.when(F.col("_today") & later.isNotNull(), F.timestamp_add("MINUTE", later, F.date_trunc("day", F.col(time_col))))
+    at = F.coalesce(at, F.timestamp_add("MINUTE", F.array_min(clock), F.col("_day").cast("timestamp")))
+    joined = df.join(dates, F.to_date(df[time_col]) == F.col("_date"), "left")
+    return joined.withColumn("next_run", at).drop("_date", "_today", "_day")

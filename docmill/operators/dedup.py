@@ -1,4 +1,4 @@
-"""Exact and semantic deduplication of documents.
+"""Exact, near and semantic deduplication of documents.
 
 Exact groups share the hash of the comparable form. Every decision is one hash aggregate plus a join back on
 the hash, so a group of any size is pre-aggregated before it moves.
@@ -6,13 +6,26 @@ the hash, so a group of any size is pre-aggregated before it moves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import log
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.hashing import comparable, content_hash, cosine
+from docmill.functions.hashing import WEIGHTS, comparable, composite_similarity, content_hash, fingerprint, hex_similarity, ratio, structure_class, structure_similarity
 
-#: Fixed value: characters below which a text is never a duplicate.
+#: Characters below which a text is never a duplicate, and the named thresholds of similarity.
 LEAST_CHARS = 50
+THRESHOLDS = {"very_strict": 0.95, "strict": 0.90, "normal": 0.85, "loose": 0.80, "very_loose": 0.75}
+
+
+def threshold(value: float | str) -> float:
+    """A threshold by name or number; outside the named ones it is refused."""
+    number = THRESHOLDS[value] if isinstance(value, str) else value
+    if not THRESHOLDS["very_loose"] <= number <= THRESHOLDS["very_strict"]:
+        raise ValueError(f"a threshold lies from {THRESHOLDS['very_loose']} to {THRESHOLDS['very_strict']}: {value!r}")
+    return number
 
 
 def flag_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, algorithm: str = "sha256", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -25,9 +38,14 @@ def flag_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``df`` without later copies."""
-    gone = flag_duplicates(df, id_col, text_col, least_chars).where("is_duplicate").select(id_col)
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """``df`` without later copies: short texts and the rows of the smallest id of each hash. Rows that share an id stay or go together.
+
+    Texts are hashed in one aggregate; the rows are then joined once, by id.
+    """
+    short = lambda text: F.length(F.trim(F.coalesce(text, F.lit("")))) < least_chars
+    hashed = df.where(~short(F.col(text_col))).select(F.col(id_col).alias("_id"), content_hash(text_col).alias("_hash"))
+    first = hashed.groupBy("_hash").agg(F.min("_id").alias("_id")).select("_id").distinct()
+    return df.join(first, df[id_col] == first["_id"], "left").where(short(df[text_col]) | F.col("_id").isNotNull()).select(*(df[c] for c in df.columns))
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,20 +62,126 @@ def not_seen(df: DataFrame, seen: DataFrame, text_col: str = "text") -> DataFram
     return rows.join(seen.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def similar_vectors(df: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 128, part_rows: int = 2048) -> DataFrame:
+def similar_flags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """id and ``is_similar``: whether a document of a smaller id has a weighted score (hash, length, words, structure) of ``least`` or more.
+
+    Whatever the hashes, their similarity is 0.75 or more, so two documents of one structure whose length ratio and word
+    ratio add up far enough are similar for certain. Cells of a grid over the logarithms of both are made so
+    narrow that all documents of a cell are: each but the first is similar. Cells are at most a few thousand
+    whatever the corpus, so the first ones are broadcast: they meet each other, and what is still not similar then
+    meets every document, where digits of hashes are only compared if they can decide. Cost follows the rows.
+
+    ``least`` is at most 0.9 here; over it nothing but equal hashes decides, which is what ``flag_duplicates`` finds.
+    Short and null texts and null ids are never similar; rows that share an id aren't compared with each other.
+    """
+    least = threshold(least)
+    hash_weight, weight = WEIGHTS
+    ratios = (least - 0.75 * hash_weight - weight) / weight  # what both ratios have to add up to, whatever the hashes
+    if ratios >= 2:
+        raise ValueError("over 0.9 only equal hashes are similar: use flag_duplicates")
+    marks = fingerprint(F.col(text_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), (F.length(F.trim(text)) < least_chars).alias("short"), marks.alias("f"))
+    rows = rows.select("id", "short", F.col("f.content_hash").alias("h"), F.col("f.content_length").alias("n"), F.col("f.word_count").alias("w"), structure_class(F.col("f.content_length")).alias("s"))
+    step = -log(ratios / 2)
+    cell = [F.floor(F.log(F.greatest(c, F.lit(1))) / step).alias(f"cell_{c}") for c in ("n", "w")]
+    usable = rows.where("NOT short AND id IS NOT NULL")
+    heads = usable.groupBy("s", *cell).agg(F.min(F.struct("id", "h", "n", "w")).alias("it")).select("s", "it.*")
+    a, b = (heads.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "h", "n", "w", "s"))) for k in "ab")
+    every = usable.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "h", "n", "w", "s")))
+
+    def score(most_hash: bool) -> Column:
+        of = lambda c, k: F.col(f"{c}_{k}")
+        same = F.lit(1.0) if most_hash else hex_similarity(of("h", "a"), of("h", "b"))
+        return F.round(composite_similarity(same, ratio(of("n", "a"), of("n", "b")), ratio(of("w", "a"), of("w", "b")), structure_similarity(of("s", "a"), of("s", "b"))), 9)
+
+    near = (F.col("id_b") < F.col("id_a")) & (score(True) >= least) & (score(False) >= least)
+    among = a.join(F.broadcast(b), near, "left_semi").select("id_a")
+    open_heads = a.join(F.broadcast(among), "id_a", "left_anti")
+    found = every.join(F.broadcast(open_heads), near).select("id_a").distinct()
+    lone = F.broadcast(open_heads.select("id_a").join(F.broadcast(found), "id_a", "left_anti").select(F.col("id_a").alias("id"), F.lit(True).alias("lone")))
+    out = rows.join(lone, "id", "left")
+    return out.select(F.col("id").alias(id_col), (~F.col("short") & F.col("id").isNotNull() & F.col("lone").isNull()).alias("is_similar"))
+
+
+def is_duplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """id, ``is_duplicate`` and ``method``: an earlier document has the same title, the same content, or a similar one. Short texts are no duplicates."""
+    flags = flag_duplicates(df, id_col, text_col, least_chars).select(F.col(id_col).alias("id"), F.col("is_duplicate").alias("content"))
+    flags = flags.groupBy("id").agg(F.bool_or("content").alias("content"))
+    similar = similar_flags(df, id_col, text_col, least, least_chars).select(F.col(id_col).alias("id"), F.col("is_similar").alias("similar")).groupBy("id").agg(F.bool_or("similar").alias("similar"))
+    both = flags.join(similar, "id")
+    method = F.when(F.col("content"), "content").when(F.col("similar"), "similar")
+    if title_col:
+        long = df.where((F.length(F.trim(text_col)) >= least_chars) & (F.trim(title_col) != "")).select(F.col(id_col).alias("id"), content_hash(title_col).alias("t"))
+        titled = long.join(long.groupBy("t").agg(F.min("id").alias("least")), "t").where("id != least").select("id").distinct().withColumn("title", F.lit(True))
+        both, method = both.join(titled, "id", "left"), F.when(F.col("title"), "title").otherwise(method)
+    return both.select(F.col("id").alias(id_col), method.isNotNull().alias("is_duplicate"), method.alias("method"))
+
+
+#: The signature table: what is known of documents that were seen.
+SIGNATURES = "doc_id STRING, content_hash STRING, title_hash STRING, content_length INT, word_count INT"
+
+
+def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """The rows of a signature table for documents of any length."""
+    marks = fingerprint(F.col(text_col), F.col(title_col) if title_col else None)
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), marks.alias("f"))
+    return rows.select("doc_id", *(F.col(f"f.{c}") for c in ("content_hash", "title_hash", "content_length", "word_count")))
+
+
+def add_signatures(known: DataFrame, df: DataFrame, **columns: str) -> DataFrame:
+    """``known`` with the signatures of ``df``; documents that it has already get their new ones."""
+    new = signatures(df, **columns)
+    return known.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+
+
+def remove_signatures(known: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return known.join(ids.select(F.col(id_col).cast("string").alias("doc_id")), "doc_id", "left_anti")
+
+
+def save_signatures(known: DataFrame, path: str) -> None:
+    """JSON lines under a new path, so that a table can be saved while it is read from elsewhere."""
+    known.write.json(path)
+
+
+def load_signatures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SIGNATURES).json(path)
+
+
+def similar_vectors(df: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, part_rows: int = 8192) -> DataFrame:
     """query_id, rank, id and score of the k rows of ``df`` with the highest cosine of ``least`` or more.
 
-    Queries are packed into blocks; each row meets a block at once in an array expression and keeps the
-    scores that are high enough. Rows are cut into parts, and each part is joined with each block.
+    Rows are cut into parts and queries into blocks; each part meets each block once as a product of two
+    matrices of unit vectors and keeps k rows a query. Null vectors take no part; vectors meet those of their own
+    length; null components and zero vectors have cosine 0 with everything.
     """
-    blocks, parts = (max(1, -(-d.count() // n)) for d, n in ((queries, block_rows), (df, part_rows)))
+    n, m = df.count(), queries.count()
+    blocks, parts = max(1, -(-m // block_rows)), max(1, -(-n // part_rows), min(-(-n // 512), df.sparkSession.sparkContext.defaultParallelism))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    packed = queries.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs")).select("*", every(parts).alias("part"))
-    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
-    met = rows.join(packed, ["block", "part"])
-    scored = met.select("id", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["id"].alias("query_id"), cosine(q["v"], F.col("v")).alias("score"))), lambda s: (s["query_id"] != F.col("id")) & (s["score"] >= least))).alias("s"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.select(F.col("s.query_id"), "id", F.col("s.score")).withColumn("rank", F.row_number().over(best))
+    some = lambda d: d.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.size(vector_col).alias("dim"))
+    held = some(df).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    posed = some(queries).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+
+    def units(vectors: pd.Series) -> np.ndarray:
+        raw = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+        lengths = np.sqrt((raw * raw).sum(1, keepdims=True))
+        return np.where(np.isfinite(lengths) & (lengths > 0), raw / np.where(lengths > 0, lengths, 1), 0.0)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, x, q = left["id"].to_numpy(), units(left["v"]), units(right["v"])
+            for own, unit, rough in zip(right["id"], q, q @ x.T):
+                bar = max(least, np.partition(rough, -k - 1)[-k - 1] if len(rough) > k else -2) - 1e-9  # one more, for the query itself
+                at = np.flatnonzero((rough >= bar) & (ids != own))
+                exact = (x[at] * unit).sum(1)  # in one order for every row, so equal vectors tie
+                best = np.lexsort((ids[at], -exact))[:k]
+                out += [(own, ids[at[i]], exact[i]) for i in best if exact[i] >= least]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    keys, kind = ["dim", "part", "block"], held.schema["id"].dataType.simpleString()
+    scored = held.groupBy(*keys).cogroup(posed.groupBy(*keys)).applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

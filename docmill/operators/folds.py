@@ -161,21 +161,27 @@ def fold(df: DataFrame, key: str, time: str, tie: str, value: str, rule, output:
     return df.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, f"{schema}, `{output}` {kind}")
 
 
-def controller(least: int, most: int, base_rate: float, pause: float = 30.0, calm: float = 300.0) -> Callable[[], Callable[[float, float], float]]:
+def controller(least: int, most: int, pause: float = 30.0, calm: float = 300.0, broken: Callable[[float], bool] = lambda score: False) -> Callable[[], Callable[[float, float], float]]:
     """Concurrent tasks under adaptive control. The value is a score: from 0.8 tasks fall to the least, from 0.6 they
-    shrink by 0.7, under 0.3 they grow by 1.2 unless they shrank within ``calm`` seconds; at most one action in ``pause`` seconds."""
+    shrink by 0.7, under 0.3 they grow by 1.2 unless they shrank within ``calm`` seconds; at most one action in ``pause`` seconds.
+
+    While the breaker is open nothing is done: ``broken`` tells which score opens it, and ``calm`` seconds later it closes with a growth.
+    Growth by 1.2 is rounded down, so tasks under 5 don't grow (kept as it is).
+    """
 
     def start():
-        tasks, acted, shrank = most, None, None
+        tasks, acted, shrank, opened = most, None, None, None
 
         def step(at: float, score: float) -> float:
-            nonlocal tasks, acted, shrank
-            if acted is None or at - acted >= pause:
-                new = least if score >= 0.8 else max(least, int(tasks * 0.7)) if score >= 0.6 else tasks
-                if score < 0.3 and tasks < most and (shrank is None or at - shrank >= calm):
-                    new = min(most, max(tasks + 1, int(tasks * 1.2)))
-                shrank = at if score >= 0.6 else shrank
-                acted, tasks = at, new
+            nonlocal tasks, acted, shrank, opened
+            opened = at if opened is None and broken(score) else opened
+            if acted is not None and at - acted < pause or opened is not None and at - opened < calm:
+                return float(tasks)
+            if opened is not None or score < 0.3 and tasks < most and (shrank is None or at - shrank >= calm):
+                tasks, opened = min(most, int(tasks * 1.2)), None
+            elif score >= 0.6:
+                tasks, shrank = least if score >= 0.8 else max(least, int(tasks * 0.7)), at
+            acted = at
             return float(tasks)
 
         return step
@@ -183,6 +189,24 @@ def controller(least: int, most: int, base_rate: float, pause: float = 30.0, cal
     return start
 
 
+def controlled_rate(base: float, pause: float = 30.0) -> Callable[[], Callable[[float, float], float]]:
+    """A request rate under adaptive control by a score: from 0.6 times 0.8 (0.1 at least), under 0.3 times 1.1 (twice the base at most), one action in ``pause`` seconds."""
+
+    def start():
+        rate, acted = base, None
+
+        def step(at: float, score: float) -> float:
+            nonlocal rate, acted
+            if acted is None or at - acted >= pause:
+                rate = max(0.1, rate * 0.8) if 0.6 <= score < 0.8 else min(base * 2, rate * 1.1) if score < 0.3 else rate
+                acted = at
+            return rate
+
+        return step
+
+    return start
+
+
 def all_admit(df: DataFrame, keys: list[tuple[str, Rule]], time: str, tie: str, output: str) -> DataFrame:
     """Requests that pass one limiter after another: each sees only what those before it have admitted."""
     admitted, names = df, df.columns

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.operators.reports import finite_or_zero, rate_or_zero
+
 #: Warning, critical and emergency bounds and the weight of each metric.
 THRESHOLDS = {
     "cpu_usage": (70.0, 80.0, 90.0, 0.3),
@@ -118,3 +120,49 @@ def results_of(ids: DataFrame, results: DataFrame, key: str, value: str, message
     """Every id with its value, or else an error."""
     found = ids.join(results.select(key, value), key, "left")
     return found.withColumn("error", F.when(F.col(value).isNull(), F.lit(message)))
+
+
+#: Predefined alert rules by name: metric, the value over which it fires, level and cooldown in seconds.
+ALERT_RULES = (
+    ("high_cpu_usage", "cpu_percent", 80.0, "warning", 300),
+    ("high_memory_usage", "memory_percent", 85.0, "warning", 300),
+    ("low_disk_space", "disk_usage_percent", 90.0, "critical", 600),
+    ("high_error_rate", "error_rate", 10.0, "error", 180),
+    ("service_unavailable", "service_unavailable", 0.0, "critical", 60),
+)
+RULES = "rule string, metric string, bound double, level string, cooldown long"
+
+
+def alert_rules(spark: SparkSession, *more: tuple[str, str, float, str, int]) -> DataFrame:
+    """The table of alert rules; a later rule of a name replaces an earlier one."""
+    return spark.createDataFrame([*{r[0]: r for r in (*ALERT_RULES, *more)}.values()], RULES)
+
+
+def breaches(metrics: DataFrame, rules: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
+    """Rows of a metric table that break a rule, with the rule, its level and cooldown. The rule table is small and joined by metric."""
+    named = metrics.withColumnRenamed(metric, "_metric")
+    met = named.join(rules, (F.col("_metric") == F.col("metric")) & (F.col(value) > F.col("bound")))
+    return met.drop("metric").withColumnRenamed("_metric", metric)
+
+
+def breaches_of(metrics: DataFrame, condition: str, rule: str, level: str = "warning", cooldown: int = 300) -> DataFrame:
+    """The same for a rule given as a SQL condition over a table with a column for each metric."""
+    return metrics.where(F.expr(condition)).withColumns({"rule": F.lit(rule), "level": F.lit(level), "cooldown": F.lit(cooldown)})
+
+
+def alert_states(alerts: DataFrame, events: DataFrame, key: str = "alert_id", action: str = "action", time: str = "ts") -> DataFrame:
+    """``alerts`` with status and the times at which they were acknowledged and resolved, from a log of actions.
+
+    An alert is resolved once any action resolves it, else acknowledged once one acknowledges it, else active.
+    """
+    of = lambda kind: F.min(F.when(F.col(action) == kind, F.col(time)))
+    done = events.groupBy(key).agg(of("acknowledge").alias("acknowledged_at"), of("resolve").alias("resolved_at"))
+    status = F.when(F.col("resolved_at").isNotNull(), "resolved").when(F.col("acknowledged_at").isNotNull(), "acknowledged").otherwise("active")
+    return alerts.join(done, key, "left").withColumn("status", status)
+
+
+def daily_report(runs: DataFrame, job: str, ok: Column, duration: str) -> DataFrame:
+    """For each job, and for all (null job): runs, successes, their rate (0 when never run), and least (0 without one) and mean duration."""
+    sets = runs.withColumn("_ok", ok).groupingSets([[F.col(job)], []], job)
+    out = sets.agg(F.count("*").alias("runs"), F.count_if("_ok").alias("successes"), finite_or_zero(F.min(duration)).alias("least"), finite_or_zero(F.avg(duration)).alias("mean"))
+    return out.withColumn("success_rate", rate_or_zero("successes", "runs"))

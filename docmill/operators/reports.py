@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,47 @@ def counts_when(df: DataFrame, by: list[str], **conditions: Column) -> DataFrame
     return df.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(c).alias(name) for name, c in conditions.items()))
 
 
+def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one id; the filter reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def enabled(df: DataFrame, flag: str = "enabled") -> DataFrame:
+    """Rows whose flag isn't false; a flag that is null, or a column that is missing, counts as true."""
+    return df.where(F.coalesce(F.col(flag), F.lit(True))) if flag in df.columns else df
+
+
+def with_prefix(df: DataFrame, key: str, component: str) -> DataFrame:
+    """Rows of one component by the key ``component.metric``."""
+    return df.where(F.startswith(F.col(key), F.lit(f"{component}.")))
+
+
+def unexpired(df: DataFrame, time_col: str, asof: str) -> DataFrame:
+    """Rows that never expire (null) or haven't yet."""
+    return df.where(F.col(time_col).isNull() | (F.col(time_col) >= F.lit(asof).cast("timestamp")))
+
+
+def catalog_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """table, column, type and nullable of every column, in order: metadata alone, no table is read."""
+    rows = [(name, at, f.name, f.dataType.simpleString(), f.nullable) for name, df in tables.items() for at, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "table string, position int, column string, type string, nullable boolean")
+
+
 def rate(part: Column | str, whole: Column | str) -> Column:
     """Percent; null where the whole is 0."""
     return F.try_divide(part, whole) * 100
 
 
+def rate_or_zero(part: Column | str, whole: Column | str) -> Column:
+    """Percent; 0 where nothing has run."""
+    return F.coalesce(rate(part, whole), F.lit(0.0))
+
+
+def finite_or_zero(value: Column) -> Column:
+    """0 for what is null or infinite, such as the least of nothing."""
+    return F.when(value.isNotNull() & (F.abs(value) != float("inf")), value).otherwise(F.lit(0.0))
+
+
 def orphans(df: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Rows whose key no parent has; a null key is an orphan."""
     return df.join(parents, df[key] == parents[parent_key], "left_anti")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import squeeze, strip
+from docmill.functions.text import once, squeeze, strip
 
 ERRORS = ("error", "critical")
 #: Marks of wrongly decoded text and the accepted forms of a date.
@@ -111,7 +111,7 @@ def too_similar(title: Column, content: Column) -> Column:
 def repetition(c: Column) -> Column:
     """One minus the share of distinct words."""
     words = F.filter(F.split(squeeze(F.lower(c)), " "), lambda w: w != "")
-    return 1 - F.size(F.array_distinct(words)) / F.nullif(F.size(words), F.lit(0))
+    return once(words, lambda w: 1 - F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)))
 
 
 def document_findings(columns: list[str], asof: Column | None = None) -> list[Column]:
@@ -138,6 +138,45 @@ def document_findings(columns: list[str], asof: Column | None = None) -> list[Co
     return out
 
 
+#: Fields that a document has to have, may have, and the type of each.
+REQUIRED_FIELDS = ("title", "content", "source")
+OPTIONAL_FIELDS = ("author", "publish_date", "tags", "summary", "url")
+FIELD_TYPES = {"title": "string", "content": "string", "author": "string", "url": "string", "publish_date": "string", "summary": "string", "source": "string", "tags": "array"}
+
+
+def schema_findings(df: DataFrame, required: tuple[str, ...] = REQUIRED_FIELDS, optional: tuple[str, ...] = OPTIONAL_FIELDS, types: dict[str, str] = FIELD_TYPES) -> DataFrame:
+    """``df`` with ``schema_findings``: required fields that are missing, null or blank, fields of the wrong type (errors) and unknown fields (warnings).
+
+    A table has one type a column, so unknown fields and wrong types are the same for every row and are found on the schema alone.
+    """
+    held = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    always = F.lit(True)
+    found = [finding(always, name, "missing_field", "error") for name in required if name not in held]
+    for name in (n for n in required if n in held):
+        empty = strip(F.col(name)) == "" if held[name] == "string" else F.lit(False)
+        found.append(finding(F.col(name).isNull(), name, "missing_field", "error"))
+        found.append(finding(empty, name, "empty_field", "error"))
+    found += [finding(always, name, "unknown_field", "warning") for name in held if name not in (*required, *optional)]
+    found += [finding(F.col(f"`{name}`").isNotNull(), name, "field_type", "error") for name, kind in types.items() if name in held and held[name] != kind]
+    return df.withColumn("schema_findings", F.array_compact(F.array(*found)))
+
+
+def length_rule(of: str, least: int = 0, most: int | None = None, level: str = "error", kind: str = "string") -> Rule:
+    """A rule on the length of a string, or with ``kind`` array on the number of elements."""
+    size = F.size if kind == "array" else F.length
+    return Rule(of, f"{of}_length", lambda c: (size(c) < least) | (F.lit(False) if most is None else size(c) > most), level)
+
+
+def match_rule(of: str, pattern: str, level: str = "error") -> Rule:
+    """A rule that a string matches a pattern from its start."""
+    return Rule(of, f"{of}_format", lambda c: ~c.rlike(rf"\A(?:{pattern})"), level)
+
+
+def message(finding: Column) -> Column:
+    """A finding as one line of text."""
+    return F.format_string("[%s] %s: %s", F.upper(finding["level"]), finding["field"], F.replace(finding["rule"], F.lit("_"), F.lit(" ")))
+
+
 def validate(df: DataFrame, rules: Rules | None = None, asof: Column | None = None) -> DataFrame:
     """``df`` with ``findings``, their counts by severity and ``is_valid``."""
     out = df.withColumn("findings", (rules or default_rules()).findings(df.columns, document_findings(df.columns, asof)))

@@ -7,20 +7,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions import terms
 from docmill.operators import dedup, folds, monitoring, reports
-from docmill.plans.documents import table
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+from docmill.plans.base import query, table
+from docmill.sources import sinks
 
 
 @query("""SELECT CASE WHEN value > 80 THEN 'critical' WHEN value > 40 THEN 'warning' ELSE 'info' END AS level, event_type AS rule, count(*) AS total, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS active
@@ -113,7 +101,7 @@ def request_stats(spark, sf_dir):
 @query()
 def controlled_tasks(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 50).alias("score"))
-    return folds.fold(events, "user_id", "ts", "event_id", "score", folds.controller(1, 10, 1.0, 3600.0, 36_000.0), "tasks", "double").select("event_id", "tasks")
+    return folds.fold(events, "user_id", "ts", "event_id", "score", folds.controller(1, 10, 3600.0, 36_000.0), "tasks", "double").select("event_id", "tasks")
 
 
 @query()
@@ -126,3 +114,62 @@ def domain_then_user_limits(spark, sf_dir):
 def semantic_matches(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("text", F.concat(F.lit("a text that is long enough to be compared "), F.col("label").cast("string"), F.lit(" and unique "), F.col("vec_id").cast("string")))
     return dedup.semantic_duplicates(rows.where("vec_id % 20 = 0"), rows, 0.3, "vec_id", others=True)
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' AND coalesce(c_acctbal > 0, true)")
+def enabled_sources(spark, sf_dir):
+    sources = table(spark, sf_dir, "customer").withColumn("enabled", F.col("c_acctbal") > 0)
+    return reports.enabled(reports.where_all(sources, c_mktsegment="MACHINERY")).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT event_id, event_type || '.' || user_id AS metric FROM events WHERE event_type = 'click'")
+def metrics_of_component(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("metric", F.concat_ws(".", "event_type", F.col("user_id").cast("string")))
+    return reports.with_prefix(events, "metric", "click").select("event_id", "metric")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_orderdate >= TIMESTAMP '1997-01-01'")
+def unexpired_tasks(spark, sf_dir):
+    """Only finished orders expire, at their date."""
+    orders = table(spark, sf_dir, "orders").withColumn("expires_at", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")))
+    return reports.unexpired(orders, "expires_at", "1997-01-01").select("o_orderkey")
+
+
+@query("""SELECT o_orderpriority AS job, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS successes, round(coalesce(min(o_totalprice), 0), 2) AS least, round(coalesce(avg(o_totalprice), 0), 4) AS mean,
+  round(100 * count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS success_rate FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())""")
+def daily_report(spark, sf_dir):
+    out = monitoring.daily_report(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "job"), "job", F.col("o_orderstatus") == "F", "o_totalprice")
+    return out.withColumns({"least": F.round("least", 2), "mean": F.round("mean", 4), "success_rate": F.round("success_rate", 6)})
+
+
+@query("""WITH r(rule, metric, bound, level, cooldown) AS (VALUES ('high_error', 'error', 30.0, 'error', 180::BIGINT), ('high_view', 'view', 85.0, 'critical', 60::BIGINT))
+SELECT event_id, rule, level, cooldown FROM events JOIN r ON event_type = metric AND value > bound""")
+def rule_breaches(spark, sf_dir):
+    """Metrics over the bound of a rule of a table."""
+    rules = spark.createDataFrame([("high_error", "error", 30.0, "error", 180), ("high_view", "view", 85.0, "critical", 60)], monitoring.RULES)
+    return monitoring.breaches(table(spark, sf_dir, "events"), rules, "event_type").select("event_id", "rule", "level", "cooldown")
+
+
+@query("""WITH a AS (SELECT user_id AS alert_id, min(ts) AS raised FROM events WHERE event_type = 'error' GROUP BY 1),
+d AS (SELECT user_id AS alert_id, min(ts) FILTER (event_type = 'click') AS acknowledged_at, min(ts) FILTER (event_type = 'purchase' AND value > 30) AS resolved_at FROM events GROUP BY 1)
+SELECT alert_id, acknowledged_at, resolved_at, CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN acknowledged_at IS NOT NULL THEN 'acknowledged' ELSE 'active' END AS status FROM a LEFT JOIN d USING (alert_id)""")
+def alert_lifecycle(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "alert_id")
+    alerts = events.where("event_type = 'error'").groupBy("alert_id").agg(F.min("ts").alias("raised")).drop("raised")
+    action = F.when(F.col("event_type") == "click", "acknowledge").when((F.col("event_type") == "purchase") & (F.col("value") > 30), "resolve")
+    return monitoring.alert_states(alerts, events.withColumn("action", action)).select("alert_id", "acknowledged_at", "resolved_at", "status")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, (10 + coalesce(a, 0))::BIGINT AS collection_count, coalesce(g, 0)::BIGINT AS success_count, coalesce(b, 0)::BIGINT AS error_count FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS a, count(*) FILTER (c_acctbal > 5000) AS g, count(*) FILTER (c_acctbal < 0) AS b FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+def source_task_counters(spark, sf_dir):
+    """Counters of sources after a batch of tasks."""
+    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit(10).cast("long").alias("collection_count"), F.lit(0).cast("long").alias("success_count"), F.lit(None).cast("long").alias("error_count"))
+    status = F.when(F.col("c_acctbal") > 5000, "completed").when(F.col("c_acctbal") < 0, "failed").otherwise("running")
+    return sinks.with_counters(sources, table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("source_id"), status.alias("status")))
+
+
+@query("SELECT event_id, user_id, event_type AS operation, value FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT event_id, user_id, 'all', value FROM events")
+def concatenated_series(spark, sf_dir):
+    """The series of two operations and the one of all, one below the other."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("operation"), "value")
+    return events.where(F.col("operation").isin("view", "click")).unionByName(events.withColumn("operation", F.lit("all")))

@@ -8,24 +8,12 @@ from pyspark.sql import functions as F
 from docmill.functions import times
 from docmill.operators import folds, monitoring, reports
 
-from docmill.plans.documents import table
+from docmill.plans.base import ORACLE, QUERIES, query, table
 from docmill.streaming import streams
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 ASOF = "2024-01-20 12:00:00"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 50) AS large, count(DISTINCT user_id) AS users,
   count(*) FILTER (ts >= TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00') AS last_day FROM events""")
 def conditional_counts(spark, sf_dir):
@@ -104,9 +92,11 @@ def counts_over_domain(spark, sf_dir):
     return monitoring.over_domain(counts, nations.select("n_nationkey"), "n_nationkey", "n").join(nations, "n_nationkey").select("n_name", "n")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def sources_without_tasks(spark, sf_dir):
-    return reports.orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_custkey"), "c_custkey", "o_custkey")
+    """Customers without a pending order."""
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")
+    return reports.orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), pending, "c_custkey", "o_custkey")
 
 
 @query("""SELECT event_type, 'c' || (user_id % 10) AS component, count(*) AS n FROM (SELECT event_type, user_id FROM events WHERE event_type IN ('error', 'signup'))
@@ -117,10 +107,10 @@ def error_stats(spark, sf_dir):
     return sets.agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT user_id, CASE WHEN value > 90 THEN 'unhealthy' WHEN value > 60 THEN 'warning' ELSE 'healthy' END AS status FROM events WHERE ts < TIMESTAMP '2024-01-02')
+@query("""WITH c AS (SELECT user_id, CASE WHEN value > 90 THEN 'unhealthy' WHEN value > 60 THEN 'warning' ELSE 'healthy' END AS status FROM events)
 SELECT user_id, CASE WHEN bool_or(status = 'unhealthy') THEN 'unhealthy' WHEN bool_or(status = 'warning') THEN 'warning' WHEN bool_and(status = 'healthy') THEN 'healthy' ELSE 'unknown' END AS status FROM c GROUP BY user_id""")
 def health_rollup(spark, sf_dir):
-    checks = table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp"))
+    checks = table(spark, sf_dir, "events")
     status = F.when(F.col("value") > 90, "unhealthy").when(F.col("value") > 60, "warning").otherwise("healthy")
     return checks.select("user_id", status.alias("status")).groupBy("user_id").agg(monitoring.health().alias("status"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.plans import documents, more, operations
+from docmill.plans import documents, more, operations  # noqa: F401  they register their queries
+from docmill.plans.base import ORACLE, QUERIES
 
-QUERIES = documents.QUERIES | operations.QUERIES | more.QUERIES
-ORACLE = documents.ORACLE | operations.ORACLE | more.ORACLE
+__all__ = ["ORACLE", "QUERIES"]

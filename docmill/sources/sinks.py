@@ -6,7 +6,7 @@ over the old one in a single job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.reports import updated
@@ -52,3 +52,61 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     """path, md5 and content of files whose path and hash the manifest (path, md5) lacks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.md5("content").alias("md5"), "content")
     return files.join(manifest.select("path", "md5"), ["path", "md5"], "left_anti")
+
+
+def back_up(spark: SparkSession, path: str, manifest: DataFrame, target: str) -> DataFrame:
+    """Copy files that the manifest (path, md5) lacks to ``target`` as a table of path, md5 and content; the manifest with them, latest hash a path.
+
+    The copy is written first and the manifest is made from what was written, so a job that is repeated copies the same files again.
+    """
+    changed_files(spark, path, manifest).write.mode("append").parquet(target)
+    new = spark.read.parquet(target).select("path", "md5").join(manifest.select("path", "md5"), ["path", "md5"], "left_anti").distinct()
+    return manifest.select("path", "md5").join(new.select("path"), "path", "left_anti").unionByName(new)
+
+
+def files_older_than(files: DataFrame, asof: str, days: int) -> DataFrame:
+    """Rows of a file listing that were last changed ``days`` or more before ``asof``: what a clean-up deletes."""
+    return files.where(F.col("modificationTime") <= F.lit(asof).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def with_counters(sources: DataFrame, tasks: DataFrame, key: str = "source_id") -> DataFrame:
+    """``sources`` (id, collection_count, success_count, error_count) with the finished tasks (status) of each added to its counters."""
+    done = tasks.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("_all"), F.count_if(F.col("status") == "completed").alias("_good"), F.count_if(F.col("status") == "failed").alias("_bad"))
+    more = lambda name, by: (F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(by), F.lit(0))).alias(name)
+    new = {"collection_count": more("collection_count", "_all"), "success_count": more("success_count", "_good"), "error_count": more("error_count", "_bad")}
+    return sources.join(done, "id", "left").select(*(new.get(c, F.col(c)) for c in sources.columns))
+
+
+def affected(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows a change has added, deleted and changed, by key."""
+    mark = lambda df: df.select(F.col(key), F.xxhash64(*(F.to_json(F.struct(*df.columns)),)).alias("mark"))
+    both = mark(before).withColumnRenamed("mark", "old").join(mark(after).withColumnRenamed("mark", "new"), key, "full")
+    return both.agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("deleted"), F.count_if(F.col("old") != F.col("new")).alias("changed"))
+
+
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def migrated(df: DataFrame, schema: str, required: tuple[str, ...] = (), uuid_cols: tuple[str, ...] = (), json_lists: tuple[str, ...] = ()) -> DataFrame:
+    """Rows cast to the columns of ``schema`` with ``valid``; missing columns and values that don't fit are null, and required ones make a row invalid.
+
+    ids that are no UUID are repaired to one by their MD5, the same for equal ids in any table; JSON lists are decoded, anything else gives null.
+    """
+    def value(name: str, kind: str) -> Column:
+        if name not in df.columns:
+            return F.lit(None).cast(kind)
+        raw = F.col(name).cast("string") if name in (*uuid_cols, *json_lists) else F.col(name)
+        if name in json_lists:
+            return F.when(F.startswith(F.trim(raw), F.lit("[")), F.from_json(raw, kind))
+        if name in uuid_cols:
+            digits = F.md5(raw)
+            made = F.concat_ws("-", *(F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+            return F.when(raw.rlike(UUID), F.lower(raw)).otherwise(made)
+        return raw.try_cast(kind)
+
+    fields = [(f.name, f.dataType.simpleString()) for f in df.sparkSession.createDataFrame([], schema).schema.fields]
+    out = df.select(*(value(name, kind).alias(name) for name, kind in fields))
+    valid = F.lit(True)
+    for name in required:
+        valid = valid & F.col(name).isNotNull()
+    return out.withColumn("valid", valid)

@@ -44,7 +44,8 @@ def cooldown_alerts(events: DataFrame, key: str, time_col: str, value: str, boun
             state.update((float(last),))
         yield pd.DataFrame({key: [name[0]] * len(fired), "at": [f[0] for f in fired], "value": [f[1] for f in fired]})
 
-    timed = events.select(key, F.unix_micros(time_col).cast("double").alias("us"), F.col(value).cast("double").alias("v")).withColumn("at", F.col("us") / 1e6).drop("us")
+    # Only what is over the bound is shuffled and held: a key's alerts of one trigger, not its events.
+    timed = events.where(F.col(value) > bound).select(key, F.unix_micros(time_col).cast("double").alias("us"), F.col(value).cast("double").alias("v")).withColumn("at", F.col("us") / 1e6).drop("us")
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, value double", "last double", "append", "NoTimeout")
 
 
