@@ -5,6 +5,8 @@ are turned into such a vocabulary and its merges once, on the driver; tasks get
 string of fixed size. Text is cut before spaces that follow a non-space, which are always borders of
 the splitting pattern, so that the ids of a repeated word are looked up instead of merged again.
 
+The strings of special tokens are ordinary text wherever they occur (``encode_special_tokens``).
+
 Defined cases: null and empty texts have no ids and decode to the empty text; ids that end within a
 character decode to U+FFFD in ``decoded_text`` while ``decoded`` keeps the raw bytes; rows keep
 their multiplicity.
@@ -137,10 +139,13 @@ class RankEncoder(Encoder):
 
 
 def in_merge_order(serialized: str) -> bool:
-    """Whether each merge makes the next id, so that ranks alone give the ids."""
-    model = json.loads(serialized)["model"]
+    """Whether ranks alone give the ids: each merge makes the next id, and nothing but byte-level splitting by the usual pattern comes before."""
+    config = json.loads(serialized)
+    model, before = config["model"], config.get("pre_tokenizer") or {}
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    return not model.get("ignore_merges") and [model["vocab"]["".join(m)] for m in merges] == list(range(256, 256 + len(merges)))
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not config.get("normalizer")
+    plain = plain and all(t["special"] for t in config["added_tokens"]) and not (model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    return bool(plain) and [model["vocab"]["".join(m)] for m in merges] == list(range(256, 256 + len(merges)))
 
 
 @lru_cache(maxsize=4)
