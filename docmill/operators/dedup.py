@@ -48,14 +48,25 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return df.join(first, df[id_col] == first["_id"], "left").where(short(df[text_col]) | F.col("_id").isNotNull()).select(*(df[c] for c in df.columns))
 
 
-def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """content_hash, representative, document_count and lengths of each group of two or more equal contents."""
+def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", published_col: str | None = None) -> DataFrame:
+    """content_hash, representative, document_count, lengths and, if asked, first and last time of each group of two or more equal contents.
+
+    Groups by a hash similarity of 0.85 are these: two different SHA-256 digests agree so far less than once in 10 ** 20.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    groups = df.select(F.col(id_col).alias("id"), content_hash(text).alias("content_hash"), F.length(comparable(text)).cast("long").alias("chars")).groupBy("content_hash")
-    out = groups.agg(F.min("id").alias("representative"), F.count("*").alias("document_count"), F.sum("chars").alias("total_length"), F.avg("chars").alias("avg_length"))
+    times = [F.col(published_col).alias("at")] if published_col else []
+    groups = df.select(F.col(id_col).alias("id"), content_hash(text).alias("content_hash"), F.length(comparable(text)).cast("long").alias("chars"), *times).groupBy("content_hash")
+    ends = [F.min("at").alias("min_published_at"), F.max("at").alias("max_published_at")] if published_col else []
+    out = groups.agg(F.min("id").alias("representative"), F.count("*").alias("document_count"), F.sum("chars").alias("total_length"), F.avg("chars").alias("avg_length"), *ends)
     return out.where("document_count > 1")
 
 
+def similar_documents(df: DataFrame, queries: DataFrame, k: int = 5, least: float | str = "normal", id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
+    """The stored documents themselves for each query: query_id, rank, score and the columns of ``df`` but the vector."""
+    found = similar_vectors(df, queries, k, threshold(least), id_col, vector_col)
+    return found.join(df.drop(vector_col), id_col)
+
+
 def not_seen(df: DataFrame, seen: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose content hash isn't in ``seen`` (content_hash): a batch against a stored set."""
     rows = df.withColumn("content_hash", content_hash(text_col))

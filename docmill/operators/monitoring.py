@@ -166,3 +166,13 @@ def daily_report(runs: DataFrame, job: str, ok: Column, duration: str) -> DataFr
     sets = runs.withColumn("_ok", ok).groupingSets([[F.col(job)], []], job)
     out = sets.agg(F.count("*").alias("runs"), F.count_if("_ok").alias("successes"), finite_or_zero(F.min(duration)).alias("least"), finite_or_zero(F.avg(duration)).alias("mean"))
     return out.withColumn("success_rate", rate_or_zero("successes", "runs"))
+
+
+def queue_report(tasks: DataFrame, by: str, status: str, seconds: Column) -> DataFrame:
+    """For each type or priority, and for all (null): tasks by state, mean seconds of the finished ones and their success rate (0 without one)."""
+    of = lambda *kinds: F.count_if(F.col(status).isin(*kinds))
+    out = tasks.withColumn("_seconds", F.when(F.col(status).isin("completed", "failed"), seconds)).groupingSets([[F.col(by)], []], by)
+    return out.agg(
+        F.count("*").alias("total"), of("pending").alias("pending"), of("running").alias("running"), of("completed").alias("completed"), of("failed").alias("failed"),
+        F.avg("_seconds").alias("mean_seconds"), rate_or_zero(of("completed"), of("completed", "failed")).alias("success_rate"),
+    )

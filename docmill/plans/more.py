@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.functions import terms
+from docmill.functions.text import STOP_WORDS
 from docmill.operators import dedup, folds, monitoring, reports
 from docmill.plans.base import query, table
 from docmill.sources import sinks
@@ -173,3 +174,22 @@ def concatenated_series(spark, sf_dir):
     """The series of two operations and the one of all, one below the other."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("operation"), "value")
     return events.where(F.col("operation").isin("view", "click")).unionByName(events.withColumn("operation", F.lit("all")))
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS priority, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status, o_totalprice AS s FROM orders)
+SELECT priority, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, 0::BIGINT AS running, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
+  round(avg(s) FILTER (status IN ('completed', 'failed')), 4) AS mean_seconds, round(coalesce(100 * count(*) FILTER (status = 'completed') / nullif(count(*) FILTER (status IN ('completed', 'failed')), 0), 0), 6) AS success_rate FROM t GROUP BY GROUPING SETS ((priority), ())""")
+def queue_report(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("pending")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), status.alias("status"), "o_totalprice")
+    return monitoring.queue_report(tasks, "priority", "status", F.col("o_totalprice")).withColumns({c: F.round(c, n) for c, n in (("mean_seconds", 4), ("success_rate", 6))})
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: length(x) > 1 AND x NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with')) AS ws FROM conversations),
+g AS (SELECT conv_id, turn, unnest(ws) AS term FROM w UNION ALL SELECT conv_id, turn, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END) FROM w)
+SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) > 5""")
+def turn_terms(spark, sf_dir):
+    """Words and pairs of words that occur more than five times over all turns."""
+    own = F.filter(terms.words("text"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+    each = table(spark, sf_dir, "conversations").select(F.explode(terms.grams(own, 2)).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("n")).where("n > 5")

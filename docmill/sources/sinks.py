@@ -110,3 +110,20 @@ def migrated(df: DataFrame, schema: str, required: tuple[str, ...] = (), uuid_co
     for name in required:
         valid = valid & F.col(name).isNotNull()
     return out.withColumn("valid", valid)
+
+
+def save_state(df: DataFrame, path: str, version: int) -> None:
+    """One version of a state table as JSON lines; a version that is there is left as it is, so a repeated job changes nothing."""
+    df.write.mode("ignore").json(f"{path}/version={version}")
+
+
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest version of a state table."""
+    rows = spark.read.schema(f"{schema}, version INT").json(path)
+    latest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == F.lit(latest)).drop("version")
+
+
+def decoded_list(c: str, kind: str = "array<string>") -> Column:
+    """A JSON list; anything else, broken text included, gives null."""
+    return F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, kind))

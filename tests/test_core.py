@@ -208,3 +208,23 @@ def test_logs_cache_and_item_files(spark, tmp_path):
     assert [(r.source_name, r["items"]) for r in readers.item_files(spark, str(tmp_path)).collect()] == [("s", 2)]
     tables = {"t": asked}
     assert reports.catalog_of(spark, tables).count() == 3 and reports.enabled(spark.createDataFrame([(None,), (False,), (True,)], "enabled boolean")).count() == 2
+
+
+def test_documents_are_standardised_in_depth(spark):
+    row = spark.createDataFrame([("a  – b &amp; c", [" x\ty ", None, "ｆ"], ("ü  &lt;", 3), 5)], "a string, l array<string>, s struct<t: string, n: int>, n int")
+    out = text.standardized(row, skip=("n",)).first()
+    assert (out.a, out.l, out.s.t, out.s.n, out.n) == ("a - b & c", ["x y", None, "f"], "ü <", 3, 5)
+    docs = spark.createDataFrame([("[News] A title", ["B b", "a!", "B b"], "2024/01/20", "By: Ann", "Content here.", ""), (None, None, None, None, None, "kept")], "title string, tags array<string>, publish_date string, author string, content string, summary string")
+    assert [tuple(r) for r in text.special_fields(docs).collect()] == [("A title", ["b-b"], "2024-01-20", "Ann", "Content here.", "Content here."), (None, None, None, None, None, "kept")]
+
+
+def test_state_lists_and_similar_documents(spark, tmp_path):
+    for version, value in ((1, "old"), (2, "new"), (2, "again")):
+        sinks.save_state(spark.createDataFrame([("a", value)], "k string, v string"), str(tmp_path / "state"), version)
+    assert [tuple(r) for r in sinks.load_state(spark, str(tmp_path / "state"), "k STRING, v STRING").collect()] == [("a", "new")]
+    assert [one(spark, sinks.decoded_list("a"), x) for x in ('["x", "y"]', '{"x": 1}', "[broken", None)][:2] == [["x", "y"], None]
+    docs = spark.createDataFrame([(1, "one", [1.0, 0.0]), (2, "two", [0.9, 0.1]), (3, "three", [0.0, 1.0]), (4, "none", None)], "doc_id long, text string, embedding array<float>")
+    out = dedup.similar_documents(docs, docs.where("doc_id = 1"))
+    assert [(r.query_id, r.doc_id, r.rank, r.text) for r in out.collect()] == [(1, 2, 1, "two")]
+    times = spark.createDataFrame([(1, "same text", "2024"), (2, "Same  text", "2025")], "doc_id long, text string, at string")
+    assert [(r.min_published_at, r.max_published_at) for r in dedup.duplicate_groups(times, published_col="at").collect()] == [("2024", "2025")]
