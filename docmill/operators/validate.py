@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import once, squeeze, strip
+from docmill.functions.text import OTHER_BLANKS, once, squeeze, strip
 
 ERRORS = ("error", "critical")
 #: Marks of wrongly decoded text and the accepted forms of a date.
@@ -59,7 +59,8 @@ def finding(broken: Column, of: str, name: str, level: str) -> Column:
 
 
 def missing(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    """Null or blank: the search for a character that is no blank ends at the first."""
+    return c.isNull() | ~c.rlike(rf"[^ {OTHER_BLANKS}]")
 
 
 def real_date(c: Column) -> Column:
