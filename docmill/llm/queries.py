@@ -107,6 +107,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_of_file(vocabulary("byte_bpe_50k.json")), 2048, 0)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how like they are."""
+    from docmill.llm import fingerprints
+
+    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors and their errors."""
+    from docmill.llm import vector_codes
+    from docmill.llm.common import materialize
+
+    rows = materialize(vector_codes.integers(table(spark, sf_dir, "embeddings"), keep=("label",)), "integers")
+    books = vector_codes.fit(rows)
+    coded = vector_codes.with_group_error(vector_codes.encode(rows, books), "label")
+    return coded.select(F.col("id").alias("vec_id"), vector_codes.hex_code().alias("code"), "error", F.col("group_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, by source."""
+    from docmill.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
     "op2_line_dedup": op2_line_dedup,
@@ -118,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dup": op9_near_dup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Lines within one edit share the first or the last half of the shorter one's length.
@@ -255,6 +283,56 @@ c AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+#: One round of assignments and means after the other; sums and products stay below 2 ** 53, so doubles are exact.
+OP12_SQL = (
+    """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT vec_id, part, v[(part * len(v) // 4 + 1)::INT:((part + 1) * len(v) // 4)::INT] AS x FROM k, range(4) AS r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256),
+"""
+    + "".join(
+        f"""a{i} AS (
+  SELECT vec_id, part, any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), entry)) AS best FROM p JOIN c{i} USING (part) GROUP BY vec_id, part
+), m{i} AS (
+  SELECT part, best[2] AS entry, i, floor(sum(x[i]) / count(*)) AS mean FROM a{i}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL
+), c{i + 1} AS (SELECT c{i}.part, c{i}.entry, coalesce(means, c) AS c FROM c{i} LEFT JOIN (SELECT part, entry, list(mean ORDER BY i) AS means FROM m{i} GROUP BY part, entry) USING (part, entry)),
+"""
+        for i in range(4)
+    )
+    + """a AS (
+  SELECT vec_id, part, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), entry)) AS best FROM p JOIN c4 USING (part) GROUP BY vec_id, part
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a GROUP BY vec_id
+), books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), books
+"""
+)
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)
+), f(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS earlier FROM orders, range(1, 6) AS s(step)
+), counts AS (
+  SELECT part, filter_order, step, bit, count(*) FILTER (mask & (bit | earlier) = 0) AS kept, count(*) FILTER (mask & bit > 0 AND mask & earlier = 0) AS removed,
+    count(*) FILTER (mask & bit > 0 AND mask & earlier > 0) AS redundant, count(*) FILTER (mask = bit) AS unique_fails,
+    count(*) FILTER (mask & bit > 0 AND mask & earlier = 0 AND good = 1) AS good_lost, count(*) FILTER (mask & bit > 0 AND mask & earlier = 0 AND toxic = 1) AS toxic_lost
+  FROM m, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counts
+"""
+
 #: Tokenizers, sampled splitters and learnt models have no SQL; tests hold these queries against brute force.
 ORACLE: dict[str, str] = {
     "op1_top_k_search": OP1_SQL,
@@ -263,4 +341,6 @@ ORACLE: dict[str, str] = {
     "op7_secret_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_near_dup": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }

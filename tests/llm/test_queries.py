@@ -28,7 +28,7 @@ def test_equals_its_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     got, want = queries.QUERIES[name](spark, DATA), db.sql(queries.ORACLE[name])
     columns = sorted(got.columns)
