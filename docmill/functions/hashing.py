@@ -79,6 +79,18 @@ def fingerprint(content: Column | str, title: Column | str | None = None, algori
     )
 
 
+#: The named thresholds of similarity.
+THRESHOLDS = {"very_strict": 0.95, "strict": 0.90, "normal": 0.85, "loose": 0.80, "very_loose": 0.75}
+
+
+def threshold(value: float | str) -> float:
+    """A threshold by name or number; outside the named ones it is refused."""
+    number = THRESHOLDS[value] if isinstance(value, str) else value
+    if not THRESHOLDS["very_loose"] <= number <= THRESHOLDS["very_strict"]:
+        raise ValueError(f"a threshold lies from {THRESHOLDS['very_loose']} to {THRESHOLDS['very_strict']}: {value!r}")
+    return number
+
+
 #: How much the hash counts in the weighted score, and each of length, words and structure.
 WEIGHTS = (0.4, 0.2)
 

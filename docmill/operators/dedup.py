@@ -6,26 +6,17 @@ the hash, so a group of any size is pre-aggregated before it moves.
 
 from __future__ import annotations
 
-from math import log
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.hashing import WEIGHTS, comparable, composite_similarity, content_hash, fingerprint, hex_similarity, ratio, structure_class, structure_similarity
-
-#: Characters below which a text is never a duplicate, and the named thresholds of similarity.
-LEAST_CHARS = 50
-THRESHOLDS = {"very_strict": 0.95, "strict": 0.90, "normal": 0.85, "loose": 0.80, "very_loose": 0.75}
+from docmill.functions.hashing import comparable, content_hash, fingerprint, threshold
+from docmill.functions.text import once
+from docmill.operators import similar
 
-
-def threshold(value: float | str) -> float:
-    """A threshold by name or number; outside the named ones it is refused."""
-    number = THRESHOLDS[value] if isinstance(value, str) else value
-    if not THRESHOLDS["very_loose"] <= number <= THRESHOLDS["very_strict"]:
-        raise ValueError(f"a threshold lies from {THRESHOLDS['very_loose']} to {THRESHOLDS['very_strict']}: {value!r}")
-    return number
+#: Fixed value: characters below which a text is never a duplicate.
+LEAST_CHARS = similar.LEAST_CHARS
 
 
 def flag_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, algorithm: str = "sha256", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,9 +44,9 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Groups by a hash similarity of 0.85 are these: two different SHA-256 digests agree so far less than once in 10 ** 20.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     times = [F.col(published_col).alias("at")] if published_col else []
-    groups = df.select(F.col(id_col).alias("id"), content_hash(text).alias("content_hash"), F.length(comparable(text)).cast("long").alias("chars"), *times).groupBy("content_hash")
+    marks = once(comparable(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.struct(F.when(t == "", F.lit("")).otherwise(F.sha2(t, 256)).alias("content_hash"), F.length(t).cast("long").alias("chars")))
+    groups = df.select(F.col(id_col).alias("id"), marks.alias("m"), *times).select("id", "m.*", *(["at"] if times else [])).groupBy("content_hash")
     ends = [F.min("at").alias("min_published_at"), F.max("at").alias("max_published_at")] if published_col else []
     out = groups.agg(F.min("id").alias("representative"), F.count("*").alias("document_count"), F.sum("chars").alias("total_length"), F.avg("chars").alias("avg_length"), *ends)
     return out.where("document_count > 1")
@@ -74,45 +65,8 @@ def not_seen(df: DataFrame, seen: DataFrame, text_col: str = "text") -> DataFram
 
 
 def similar_flags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """id and ``is_similar``: whether a document of a smaller id has a weighted score (hash, length, words, structure) of ``least`` or more.
-
-    Whatever the hashes, their similarity is 0.75 or more, so two documents of one structure whose length ratio and word
-    ratio add up far enough are similar for certain. Cells of a grid over the logarithms of both are made so
-    narrow that all documents of a cell are: each but the first is similar. Cells are at most a few thousand
-    whatever the corpus, so the first ones are broadcast: they meet each other, and what is still not similar then
-    meets every document, where digits of hashes are only compared if they can decide. Cost follows the rows.
-
-    ``least`` is at most 0.9 here; over it nothing but equal hashes decides, which is what ``flag_duplicates`` finds.
-    Short and null texts and null ids are never similar; rows that share an id aren't compared with each other.
-    """
-    least = threshold(least)
-    hash_weight, weight = WEIGHTS
-    ratios = (least - 0.75 * hash_weight - weight) / weight  # what both ratios have to add up to, whatever the hashes
-    if ratios >= 2:
-        raise ValueError("over 0.9 only equal hashes are similar: use flag_duplicates")
-    marks = fingerprint(F.col(text_col))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), (F.length(F.trim(text)) < least_chars).alias("short"), marks.alias("f"))
-    rows = rows.select("id", "short", F.col("f.content_hash").alias("h"), F.col("f.content_length").alias("n"), F.col("f.word_count").alias("w"), structure_class(F.col("f.content_length")).alias("s"))
-    step = -log(ratios / 2)
-    cell = [F.floor(F.log(F.greatest(c, F.lit(1))) / step).alias(f"cell_{c}") for c in ("n", "w")]
-    usable = rows.where("NOT short AND id IS NOT NULL")
-    heads = usable.groupBy("s", *cell).agg(F.min(F.struct("id", "h", "n", "w")).alias("it")).select("s", "it.*")
-    a, b = (heads.select(*(F.col(c).alias(f"{c}_{k}") for c in ("id", "h", "n", "w", "s"))) for k in "ab")
-    every = usable.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "h", "n", "w", "s")))
-
-    def score(most_hash: bool) -> Column:
-        of = lambda c, k: F.col(f"{c}_{k}")
-        same = F.lit(1.0) if most_hash else hex_similarity(of("h", "a"), of("h", "b"))
-        return F.round(composite_similarity(same, ratio(of("n", "a"), of("n", "b")), ratio(of("w", "a"), of("w", "b")), structure_similarity(of("s", "a"), of("s", "b"))), 9)
-
-    near = (F.col("id_b") < F.col("id_a")) & (score(True) >= least) & (score(False) >= least)
-    among = a.join(F.broadcast(b), near, "left_semi").select("id_a")
-    open_heads = a.join(F.broadcast(among), "id_a", "left_anti")
-    found = every.join(F.broadcast(open_heads), near).select("id_a").distinct()
-    lone = F.broadcast(open_heads.select("id_a").join(F.broadcast(found), "id_a", "left_anti").select(F.col("id_a").alias("id"), F.lit(True).alias("lone")))
-    out = rows.join(lone, "id", "left")
-    return out.select(F.col("id").alias(id_col), (~F.col("short") & F.col("id").isNotNull() & F.col("lone").isNull()).alias("is_similar"))
+    """id and ``is_similar``: whether a document of a smaller id has a weighted score (hash, length, words, structure) of ``least`` or more; ``similar.best_similar`` names it."""
+    return similar.best_similar(df, id_col, text_col, least, least_chars).select(id_col, F.col("partner").isNotNull().alias("is_similar"))
 
 
 def is_duplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -202,6 +156,20 @@ def dedup_stats(flags: DataFrame, *by: str) -> DataFrame:
     return out.withColumns({"unique_docs": F.col("total") - F.col("duplicates"), "duplicate_rate": F.col("duplicates") / F.col("total")})
 
 
+def duplicate_stats(df: DataFrame, *by: str, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Totals, duplicates and rates by group, straight from the texts: one aggregate over hash and group, so no row is flagged or joined.
+
+    Of each content that is long enough one row is unique, in the group that has its smallest id; short texts all are.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = F.when(F.length(F.trim(text)) >= least_chars, content_hash(text)).alias("_hash")
+    held = df.select(hashed, F.col(id_col).alias("_id"), *by).groupBy("_hash", *by).agg(F.count("*").alias("n"), F.min("_id").alias("least"))
+    first = F.min("least").over(Window.partitionBy("_hash"))
+    own = F.when(F.col("_hash").isNull(), F.col("n")).when(F.col("least").eqNullSafe(first), 1).otherwise(0)
+    out = held.withColumn("own", own).groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.col("n") - F.col("own")).alias("duplicates"), F.sum("own").alias("unique_docs"))
+    return out.withColumn("duplicate_rate", F.col("duplicates") / F.col("total"))
+
+
 def semantic_duplicates(docs: DataFrame, known: DataFrame, least: float = 0.85, id_col: str = "doc_id", text_col: str = "text", vector_col: str = "embedding", others: bool = False) -> DataFrame:
     """id, original_id and method of documents that a known one matches: by hash first, then by the best cosine of ``least`` or more.
 

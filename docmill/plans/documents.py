@@ -34,13 +34,13 @@ SELECT CASE WHEN t = '' THEN '' ELSE sha256(t) END AS content_hash, min(doc_id)
 FROM h GROUP BY t HAVING count(*) > 1
 """)
 def dup_groups(spark, sf_dir):
-    return dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+    return dedup.duplicate_groups(spread(table(spark, sf_dir, "documents")))
 
 
 @query(FLAGS + """SELECT source, count(*) AS total, count(*) FILTER (doc_id <> original_id) AS duplicates, count(*) FILTER (doc_id = original_id) AS unique_docs,
   count(*) FILTER (doc_id <> original_id) / count(*) AS duplicate_rate FROM g GROUP BY source""")
 def dedup_stats_by_source(spark, sf_dir):
-    return dedup.dedup_stats(dedup.flag_duplicates(spread(table(spark, sf_dir, "documents")), keep=("source",)), "source")
+    return dedup.duplicate_stats(spread(table(spark, sf_dir, "documents")), "source")
 
 
 @query("""

@@ -48,8 +48,6 @@ def test_similar_flags_equal_brute_force(spark, least):
     assert flags[200] == "content" and flags[201] is None and len(flags) == len(data)
     with pytest.raises(ValueError):
         dedup.threshold(0.5)
-    with pytest.raises(ValueError):
-        dedup.similar_flags(df, least="very_strict")
 
 
 def test_a_changed_word_is_a_duplicate_and_so_is_a_title(spark):

@@ -62,10 +62,6 @@ def test_queries_take_all_rows(spark, tmp_path):
     assert {r.doc_id: r.tags for r in documents.standard_fields(spark, tmp_path).collect()}[1] == line.replace(" ", ",")
     assert (4, "[WARNING] title: title like content") in {tuple(r) for r in documents.validation_findings_of_all_rules(spark, tmp_path).collect()}
 
-    vectors = {0: [1.0, 0.0, 0.0], 20: [0.9, 0.1, 0.0], 40: [0.0, 0.0, 1.0], 41: [0.0, 1.0, 0.0], 43: [0.5, 0.5, 0.0]}
-    write([(i, v, 0) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int", "embeddings")
-    assert {tuple(r) for r in more.semantic_matches(spark, tmp_path).collect()} == {(0, 20, "vector"), (20, 0, "vector")}
-
 
 def test_semantic_duplicates_of_other_rows(spark):
     rows = spark.createDataFrame([(1, LONG.format("x"), [1.0, 0.0]), (2, LONG.format("X"), [0.0, 1.0]), (3, LONG.format("y"), [0.1, 1.0])], "doc_id long, text string, embedding array<float>")
