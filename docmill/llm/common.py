@@ -1,52 +1,22 @@
-"""Shared folder, written tables and small column helpers of the training-data operators."""
+"""Written tables and small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that are turned into Python objects at a time.
-SLICE_ROWS = 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is unset a temporary folder is made, in local mode only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
+from docmill.tables import clear, materialize, shared_dir, tables_dir
 
-def tables_dir(spark: SparkSession) -> str:
-    """Where this application writes its tables."""
-    return f"{shared_dir(spark).rstrip('/')}/docmill-{spark.sparkContext.applicationId}"
+__all__ = ["SLICE_BYTES", "SLICE_ROWS", "by_bytes", "by_size", "clear", "materialize", "shared_dir", "sliced", "tables_dir", "text_or_empty"]
 
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that this application has written, once no result needs them any more."""
-    jvm, path = spark.sparkContext._jvm, tables_dir(spark)
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE_ROWS = 500
+#: Bytes of the texts or sets of such a part.
+SLICE_BYTES = 8 << 20
 
 
 def text_or_empty(column: str) -> Column:
@@ -67,3 +37,15 @@ def by_size(texts: list[str], most: int) -> list[tuple[int, int]]:
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts, so that a task's Python objects stay small beside it."""
     return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
+def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of strings or binaries of about ``most`` bytes each; a longer one is a range of its own, so what a task makes of them stays small."""
+    begin, held = 0, 0
+    for at, size in enumerate(pc.binary_length(column).to_pylist()):
+        if at > begin and (held + (size or 0) > most or at - begin >= SLICE_ROWS):
+            yield begin, at
+            begin, held = at, 0
+        held += size or 0
+    if len(column):
+        yield begin, len(column)

@@ -10,8 +10,8 @@ in proportion to the nodes, never with the square of a group. Every candidate is
 Where a region then still holds several components, each node meets the last one before it of another
 component, and the most linked nodes of components that follow each other meet: again a candidate or two
 a node. What still isn't one component goes the exact way: all nodes that share a region at least depth
-with a node of another component, whatever its size, are joined by a prefix filter on their rarest
-shingles, and these candidates are confirmed on full sets without a look at signatures.
+with a node of another component, whatever its size, meet by a prefix filter on their rarest shingles that divides
+large buckets again, and these candidates are confirmed on full sets without a look at signatures.
 
 Links are transitive: a document's component is named by the smallest id reachable. With 16 trees of
 least depth 3 two sets of similarity 0.8 share no region with probability (1 - 0.8 ** 3) ** 16, 1e-5.
@@ -23,18 +23,22 @@ get the same component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, text_or_empty
+from docmill.llm.common import SLICE_BYTES, by_bytes, materialize, text_or_empty
 from docmill.llm.graph import components
 
 TREES, LEAST_DEPTH, MOST_DEPTH = 16, 3, 8
 #: Nodes of a region above which it goes deeper, and of a chunk at full depth.
 REGION = 1000
+#: Nodes of a bucket of the exact way that meet each other directly, and how often larger ones are divided.
+MEET, LEVELS = 8, 16
 VALUES = TREES * LEAST_DEPTH
 #: Values of ``VALUES`` in which two signatures agree at least before full sets are read; at similarity 0.8 fewer agree once in 100,000 pairs.
 LEAST_AGREED = 26
@@ -89,11 +93,13 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
     def work(batches):
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                ["id", "n_shingles", "set_id", "signature"],
-            )
+            for at, end in by_bytes(batch.column(1), SLICE_BYTES):
+                part = batch.slice(at, end - at)
+                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
+                    ["id", "n_shingles", "set_id", "signature"],
+                )
 
     return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_id long, signature binary")
 
@@ -103,8 +109,9 @@ def full_sets(df: DataFrame, width: int, text_col: str) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t, width))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "items"])
+            for at, end in by_bytes(batch.column(0), SLICE_BYTES):
+                sets = [s for t in batch.column(0).slice(at, end - at).to_pylist() if len(s := shingles(t, width))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "items"])
 
     return df.select(text_or_empty(text_col).alias("text")).mapInArrow(work, "set_id long, items binary")
 
@@ -180,48 +187,79 @@ def unsettled(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several, "base").select("set_id", "n_shingles", "root").distinct()
 
 
-def prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """set_id, n_shingles, root, item and place: of each node the items in its prefix that other nodes hold too.
-
-    A node's items are in the order of how many nodes hold them, so those of its own come first; places count from 1.
-    """
+def grouped_items(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """set_id, group and weight: the items of each node that others hold too. Items with the same holders are one group, so a passage of a template is one."""
 
     def unpacked(batches):
         for batch in batches:
-            items = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["set_id", "items"])
+            for at, end in by_bytes(batch.column(1), SLICE_BYTES):
+                part = batch.slice(at, end - at)
+                items = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], ["set_id", "items"])
 
     whole = sets.join(nodes, "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "items")
     each = whole.mapInArrow(unpacked, "set_id long, items array<long>").select("set_id", F.explode("items").alias("item"))
-    held = materialize(each.groupBy("item").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    held = each.groupBy("item").agg(F.count("*").alias("holders"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("holders > 1")
+    held = materialize(held.select("item", F.xxhash64("holders", "mark").alias("group")), "holders")
     # Spark takes exploded rows to be as small as the sets that they come from, and must not broadcast them.
-    shared = each.hint("merge").join(held, "item").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("holders", "item"))).alias("items"))
-    own = F.col("n_shingles") - F.size("items")
-    length = F.expr(f"n_shingles + 1 - ({percent} * n_shingles + 99) div 100")
-    rows = nodes.join(shared, "set_id").withColumns({"own": own, "items": F.slice("items", F.lit(1), F.greatest(length - own, F.lit(0)).cast("int"))})
-    return rows.select("set_id", "n_shingles", "root", "own", F.posexplode("items").alias("at", "x")).select("set_id", "n_shingles", "root", F.col("x.item").alias("item"), (F.col("own") + F.col("at") + 1).alias("place"))
+    return materialize(each.hint("merge").join(held, "item").groupBy("set_id", "group").agg(F.count("*").alias("weight")), "groups")
 
 
-def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs a < b of different roots that can have the similarity, by a prefix-filter join.
+def placed_groups(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """For each bucket of ``rows`` (bucket, set_id, n_shingles, root) and node: child, place and core of the groups in its prefix, with the weight of the bucket's core and its least node.
 
-    In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
-    and b - o + 1 at most; the smaller set of a pair is met in the shorter prefix that its own size allows.
-    Nodes of the root that holds an item most often never meet each other under it, so a large component
-    costs what it shares with others and not its square.
+    In a bucket groups are in the order of how many of its nodes hold them, so what a node has alone comes first and what all
+    hold, the core, last. A child is the set of nodes that hold a group, whatever the path to it.
     """
-    rows = materialize(prefixes(nodes, sets, percent), "prefixes")
-    held = rows.groupBy("item", "root").agg(F.count("*").alias("n")).groupBy("item")
-    most = held.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("item", "most")
-    rows = materialize(rows.join(most, "item").withColumn("often", F.col("root") == F.col("most")).drop("most"), "shared")
+    local = materialize(rows.join(groups, "set_id"), "local")
+    mark = F.bit_xor(F.xxhash64("set_id"))
+    held = local.groupBy("bucket", "group").agg(F.count("*").alias("holders"), mark.alias("mark"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("n_shingles", "set_id")).alias("least"))
+    known = held.join(sizes, "bucket").select("bucket", "group", "holders", F.xxhash64("holders", "mark").alias("child"), (F.col("low") != F.col("high")).alias("several"), (F.col("holders") == F.col("size")).alias("core"), "least")
+    node = Window.partitionBy("bucket", "set_id")
+    before = F.sum("weight").over(node.orderBy("holders", "group")) - F.col("weight")
+    each = local.join(known, ["bucket", "group"]).withColumns({"place": F.col("n_shingles") - F.sum("weight").over(node) + before + 1, "core_weight": F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).over(node)})
+    inside = F.expr(f"place <= n_shingles + 1 - ({percent} * n_shingles + 99) div 100")
+    return each.where(inside & F.col("several")).select("bucket", "set_id", "n_shingles", "root", "child", "place", "core", "core_weight", "least")
+
+
+def met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different roots within each small bucket that can have the similarity, by size and by the place of what they share."""
     short = rows.where(f"(n_shingles + 1 - place) * {100 + percent} >= {2 * percent} * n_shingles")
     s, t = (F.struct("n_shingles", "set_id", "place", "root").alias(c) for c in "st")
-    meets = F.explode(F.when(F.col("often"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("often")
-    both = short.select("item", meets, s).hint("merge").join(rows.select("item", "often", t), ["item", "often"])
     able = (F.struct("s.n_shingles", "s.set_id") < F.struct("t.n_shingles", "t.set_id")) & (F.col("s.root") != F.col("t.root")) & F.expr(f"100 * s.n_shingles >= {percent} * t.n_shingles")
     left = F.least(F.expr("s.n_shingles - s.place"), F.expr("t.n_shingles - t.place"))
     able &= (1 + left) * (100 + percent) >= percent * (F.col("s.n_shingles") + F.col("t.n_shingles"))
-    return both.where(able).select(F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b")).distinct()
+    both = short.select("bucket", s).hint("merge").join(rows.select("bucket", t), "bucket").where(able)
+    return both.select(F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"))
+
+
+def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b that can have the similarity, enough to link whatever is linked, by a prefix filter that divides large buckets again.
+
+    In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
+    and b - o + 1 at most, so linked nodes meet in the bucket of a group in both prefixes. A bucket of up to ``MEET``
+    nodes is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
+    rare in it and meet in buckets of their own, each smaller than it. Where the first common group is the core, which all its nodes hold, the
+    overlap is the weight of the core, and sizes alone tell what is linked: each node with the bucket's least, or not at all.
+    Buckets of one root are done. So a node meets ``MEET`` others a bucket at most, however many share a template.
+    """
+    groups = grouped_items(nodes, sets)
+    rows, found = nodes.withColumn("bucket", F.lit(0).cast("long")), []
+    for level in range(1, LEVELS + 1):
+        placed = materialize(placed_groups(rows, groups, percent), "placed")
+        stars = placed.where(F.col("core") & F.expr(f"(n_shingles + least.n_shingles) * {percent} <= {100 + percent} * core_weight") & F.expr("set_id != least.set_id"))
+        found.append(stars.select(F.least("set_id", "least.set_id").alias("a"), F.greatest("set_id", "least.set_id").alias("b")))
+        children = placed.where("NOT core").groupBy(F.col("child").alias("bucket"), "set_id").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("root").alias("root"))
+        children = materialize(children, "children")
+        sizes = children.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        sizes = materialize(sizes.select("bucket", "size"), "sizes")
+        most = MEET if level < LEVELS else 2**62
+        found.append(met(children.join(sizes.where(F.col("size") <= most), "bucket", "left_semi"), percent))
+        if sizes.where(F.col("size") > most).isEmpty():
+            break
+        rows = materialize(children.join(sizes.where(F.col("size") > most), "bucket", "left_semi").select("bucket", "set_id", "n_shingles", "root"), "buckets")
+    return reduce(DataFrame.union, found).distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
