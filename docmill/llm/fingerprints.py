@@ -19,7 +19,6 @@ their own and their likeness to the next is null. An empty table has an empty re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import text_or_empty
+from docmill.llm.common import by_bytes, text_or_empty
 from docmill.llm.near_dup import shingles
 
 #: Words of a shingle, the share of hashes that are kept (one of so many), and hashes of a sketch at least.
@@ -97,7 +96,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     def work(batches):
         for batch in batches:
-            for at, end in by_chars(batch.column(2)):
+            for at, end in by_bytes(batch.column(2), HELD_CHARS):
                 part = batch.slice(at, end - at)
                 found = [sketch(t.as_py(), width, one_of, least) for t in part.column(2)]
                 bounds = [None if s.bound == ALL else s.bound for s in found]
@@ -111,40 +110,6 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return out.select(F.col("id").alias(id_col), "n_shingles", "bound", "hashes", *(F.col("kept")[c].alias(c) for c in keep))
 
 
-def by_chars(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``HELD_CHARS`` bytes; a longer text is a range of its own."""
-    sizes, begin, held = [len(t.as_buffer() or b"") if t.is_valid else 0 for t in texts], 0, 0
-    for at, size in enumerate(sizes):
-        if at > begin and held + size > HELD_CHARS:
-            yield begin, at
-            begin, held = at, 0
-        held += size
-    if len(sizes):
-        yield begin, len(sizes)
-
-
-def merged(found: DataFrame, by: str) -> DataFrame:
-    """The sketches of ``sketches`` merged by a column: by, bound and one row for each hash below it; a group of any size stays spread by hash.
-
-    Every bound is at least the fixed share, so the merged sketch is at least as dense as a single one.
-    """
-    bounds = found.groupBy(by).agg(F.min("bound").alias("bound"))
-    each = found.select(by, F.explode("hashes").alias("hash")).distinct()
-    own = bounds.withColumnRenamed(by, "_by")
-    return each.join(own, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("bound").isNull() | (F.col("hash") < F.col("bound"))).select(by, "bound", "hash")
-
-
-def contained(found: DataFrame, groups: DataFrame, by: str, id_col: str = "doc_id") -> DataFrame:
-    """id, by and ``containment``: how much of each sketch the merged sketch of each group holds that shares a hash with it."""
-    rows = found.select(id_col, F.col("bound").alias("own"), F.explode("hashes").alias("hash"))
-    limits = groups.select(by, "bound").distinct()
-    common = rows.join(groups, "hash").where(F.col("own").isNull() | (F.col("hash") < F.col("own"))).groupBy(id_col, by).agg(F.count("*").alias("common"), F.first("own").alias("own"))
-    both = common.join(F.broadcast(limits) if limits.count() < 10_000 else limits, by).withColumn("least", F.least("own", "bound"))
-    sized = both.join(found.select(id_col, "hashes"), id_col)
-    n = F.size(F.filter("hashes", lambda h: F.col("least").isNull() | (h < F.col("least"))))
-    return sized.select(id_col, by, (F.col("common") / n).alias("containment"))
-
-
 def bucketed(df: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> DataFrame:
     """id, text, bucket and after: buckets are ranges of ids, each with the rows of the first id of the next one, marked ``after``."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -214,7 +179,7 @@ def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     def alone(batches):
         for batch in batches:
-            for at, end in by_chars(batch.column(1)):
+            for at, end in by_bytes(batch.column(1), HELD_CHARS):
                 part = batch.slice(at, end - at)
                 texts = [t.as_py() for t in part.column(1)]
                 yield batch_of([None] * len(texts), [described(t, sketch(t), None) for t in texts], part.schema.field(0).type)
