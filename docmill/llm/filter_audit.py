@@ -63,7 +63,8 @@ def surviving(rows: DataFrame, bits: int = 64) -> DataFrame:
 def with_first(rows: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """``rows`` (id, length, hashes and more, one for each row of ``df``) with ``first``, the smallest id of an equal text; null where no other row has the text."""
     alive = surviving(rows, bits)
-    texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(alive.select("id").distinct(), "id", "left_semi")
+    # Merged at every size: the ids grow with the table, so they aren't sent to every task.
+    texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).hint("merge").join(alive.select("id").distinct().hint("merge"), "id", "left_semi")
     whole = texts.select("id", "text", text_class(F.length("text"), block_hashes(F.col("text")), bits).alias("class"))
     by_text = whole.groupBy("class", "text").agg(F.min("id").alias("first"))
     found = materialize(by_text.groupBy("class").agg(F.min("first").alias("first"), F.count("*").alias("texts")), "classes")
