@@ -35,7 +35,7 @@ WIDTH, ONE_OF, LEAST = 5, 16, 64
 #: Hashes are below this; the bound of a sketch that holds all of its set is this.
 ALL = 1 << 63
 #: Rows of a bucket on average, buckets at most, and sampled ids for each.
-BUCKET_ROWS, MOST_BUCKETS, SAMPLES = 8192, 100_000, 8
+BUCKET_ROWS, MOST_BUCKETS, SAMPLES = 1024, 100_000, 8
 #: Characters of texts whose results are held before they leave a task.
 HELD_CHARS = 4 << 20
 
