@@ -206,7 +206,7 @@ def grouped_items(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def placed_groups(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """For each bucket of ``rows`` (bucket, set_id, n_shingles, root) and node: child, place and core of the groups in its prefix, with the weight of the bucket's core and its least node.
+    """For each bucket of ``rows`` (bucket, set_id, n_shingles, root, n_groups) and node: child, place and core of the groups in its prefix, with the weight of the bucket's core and its least node.
 
     In a bucket groups are in the order of how many of its nodes hold them, so what a node has alone comes first and what all
     hold, the core, last. A child is the set of nodes that hold a group, whatever the path to it.
@@ -220,17 +220,20 @@ def placed_groups(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     before = F.sum("weight").over(node.orderBy("holders", "group")) - F.col("weight")
     each = local.join(known, ["bucket", "group"]).withColumns({"place": F.col("n_shingles") - F.sum("weight").over(node) + before + 1, "core_weight": F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).over(node)})
     inside = F.expr(f"place <= n_shingles + 1 - ({percent} * n_shingles + 99) div 100")
-    return each.where(inside & F.col("several")).select("bucket", "set_id", "n_shingles", "root", "child", "place", "core", "core_weight", "least")
+    return each.where(inside & F.col("several")).select("bucket", "set_id", "n_shingles", "root", "n_groups", "child", "place", "core", "core_weight", "least")
 
 
 def met(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different roots within each small bucket that can have the similarity, by size and by the place of what they share."""
+    """Pairs of different roots within each bucket that can have the similarity, by size and by the place of what they share. Nodes of a bucket's commonest root don't meet each other."""
+    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    rows = materialize(rows.join(most, "bucket").withColumn("often", F.col("root") == F.col("most")).drop("most"), "shared")
     short = rows.where(f"(n_shingles + 1 - place) * {100 + percent} >= {2 * percent} * n_shingles")
     s, t = (F.struct("n_shingles", "set_id", "place", "root").alias(c) for c in "st")
+    meets = F.explode(F.when(F.col("often"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("often")
     able = (F.struct("s.n_shingles", "s.set_id") < F.struct("t.n_shingles", "t.set_id")) & (F.col("s.root") != F.col("t.root")) & F.expr(f"100 * s.n_shingles >= {percent} * t.n_shingles")
     left = F.least(F.expr("s.n_shingles - s.place"), F.expr("t.n_shingles - t.place"))
     able &= (1 + left) * (100 + percent) >= percent * (F.col("s.n_shingles") + F.col("t.n_shingles"))
-    both = short.select("bucket", s).hint("merge").join(rows.select("bucket", t), "bucket").where(able)
+    both = short.select("bucket", meets, s).hint("merge").join(rows.select("bucket", "often", t), ["bucket", "often"]).where(able)
     return both.select(F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"))
 
 
@@ -238,27 +241,29 @@ def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b that can have the similarity, enough to link whatever is linked, by a prefix filter that divides large buckets again.
 
     In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
-    and b - o + 1 at most, so linked nodes meet in the bucket of a group in both prefixes. A bucket of up to ``MEET``
-    nodes is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
+    and b - o + 1 at most, so linked nodes meet in the bucket of a group in both prefixes. A bucket whose nodes meet
+    no more others than they have groups is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
     rare in it and meet in buckets of their own, each smaller than it. Where the first common group is the core, which all its nodes hold, the
     overlap is the weight of the core, and sizes alone tell what is linked: each node with the bucket's least, or not at all.
-    Buckets of one root are done. So a node meets ``MEET`` others a bucket at most, however many share a template.
+    Buckets of one root are done. So what a node meets in a bucket is bounded by its own shingles, however many share a template.
     """
     groups = grouped_items(nodes, sets)
-    rows, found = nodes.withColumn("bucket", F.lit(0).cast("long")), []
+    counted = nodes.join(groups.groupBy("set_id").agg(F.count("*").alias("n_groups")), "set_id")
+    rows, found = counted.withColumn("bucket", F.lit(0).cast("long")), []
     for level in range(1, LEVELS + 1):
         placed = materialize(placed_groups(rows, groups, percent), "placed")
         stars = placed.where(F.col("core") & F.expr(f"(n_shingles + least.n_shingles) * {percent} <= {100 + percent} * core_weight") & F.expr("set_id != least.set_id"))
         found.append(stars.select(F.least("set_id", "least.set_id").alias("a"), F.greatest("set_id", "least.set_id").alias("b")))
-        children = placed.where("NOT core").groupBy(F.col("child").alias("bucket"), "set_id").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n_shingles"), F.first("root").alias("root"))
+        first = (F.first(c).alias(c) for c in ("n_shingles", "root", "n_groups"))
+        children = placed.where("NOT core").groupBy(F.col("child").alias("bucket"), "set_id").agg(F.min("place").alias("place"), *first)
         children = materialize(children, "children")
-        sizes = children.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        sizes = materialize(sizes.select("bucket", "size"), "sizes")
-        most = MEET if level < LEVELS else 2**62
-        found.append(met(children.join(sizes.where(F.col("size") <= most), "bucket", "left_semi"), percent))
-        if sizes.where(F.col("size") > most).isEmpty():
+        sizes = children.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_groups").alias("entries"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        large = (F.col("size") > MEET) & (F.col("size") * F.col("size") > 2 * F.col("entries")) if level < LEVELS else F.lit(False)
+        sizes = materialize(sizes.select("bucket", large.alias("large")), "sizes")
+        found.append(met(children.join(sizes.where("NOT large"), "bucket", "left_semi"), percent))
+        if sizes.where("large").isEmpty():
             break
-        rows = materialize(children.join(sizes.where(F.col("size") > most), "bucket", "left_semi").select("bucket", "set_id", "n_shingles", "root"), "buckets")
+        rows = materialize(children.join(sizes.where("large"), "bucket", "left_semi").drop("place"), "buckets")
     return reduce(DataFrame.union, found).distinct()
 
 
