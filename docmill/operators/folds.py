@@ -1,4 +1,4 @@
-"""Sequential rules over ordered events: limiters, cooldowns and adaptive control.
+"""Sequential rules over ordered events: limiters and cooldowns.
 
 A rule keeps a small state for each key. Rows are shuffled by key, sorted, and streamed through the rule in
 Arrow batches, so memory is bounded by a batch and a state however many rows a key has.
@@ -8,29 +8,36 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from math import inf, nan
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A rule makes a function from (seconds, value) to an outcome, with its own state.
-Rule = Callable[[], Callable[[float, float], bool]]
+#: A rule makes a function from (seconds, value) to an outcome. It goes on from a state, a list of numbers that the function
+#: keeps as its ``state``; without one it starts anew.
+Rule = Callable[..., Callable[[float, float], bool]]
+
+
+def _with_state(step: Callable[[float, float], bool], state: list[float] | deque[float]) -> Callable[[float, float], bool]:
+    step.state = state
+    return step
 
 
 def fixed_window(rate: float, size: float) -> Rule:
     """A window opens at the first request ``size`` or later after the last one opened; it admits ``rate * size``."""
 
-    def start():
-        opened, used, most = None, 0, int(rate * size)
+    def start(state: list[float] | None = None):
+        held, most = state or [-inf, 0.0], int(rate * size)  # when it opened, and how many it has admitted
 
         def step(at: float, _: float) -> bool:
-            nonlocal opened, used
-            if opened is None or at - opened >= size:
-                opened, used = at, 0
-            used += (ok := used < most)
+            if at - held[0] >= size:
+                held[:] = [at, 0.0]
+            ok = held[1] < most
+            held[1] += ok
             return ok
 
-        return step
+        return _with_state(step, held)
 
     return start
 
@@ -38,8 +45,8 @@ def fixed_window(rate: float, size: float) -> Rule:
 def sliding_window(rate: float, size: float) -> Rule:
     """At most ``rate * size`` admitted requests in any ``size`` seconds."""
 
-    def start():
-        log, most = deque(), int(rate * size)
+    def start(state: list[float] | None = None):
+        log, most = deque(state or ()), int(rate * size)
 
         def step(at: float, _: float) -> bool:
             while log and at - log[0] >= size:
@@ -48,56 +55,51 @@ def sliding_window(rate: float, size: float) -> Rule:
                 log.append(at)
             return ok
 
-        return step
+        return _with_state(step, log)
 
     return start
 
 
 def token_bucket(rate: float, size: float) -> Rule:
-    def start():
-        tokens, last = float(size), None
+    def start(state: list[float] | None = None):
+        held = state or [float(size), nan]  # tokens, and the time of the last request
 
         def step(at: float, _: float) -> bool:
-            nonlocal tokens, last
-            tokens = min(size, tokens + (at - last if last is not None else 0.0) * rate)
-            last = at
+            tokens = min(size, held[0] + (at - held[1] if held[1] == held[1] else 0.0) * rate)
             ok = tokens >= 1
-            tokens -= ok
+            held[:] = [tokens - ok, at]
             return ok
 
-        return step
+        return _with_state(step, held)
 
     return start
 
 
 def leaky_bucket(rate: float, size: float) -> Rule:
-    def start():
-        volume, last = 0.0, None
+    def start(state: list[float] | None = None):
+        held = state or [0.0, nan]  # volume, and the time of the last request
 
         def step(at: float, _: float) -> bool:
-            nonlocal volume, last
-            volume = max(0.0, volume - (at - last if last is not None else 0.0) * rate)
-            last = at
+            volume = max(0.0, held[0] - (at - held[1] if held[1] == held[1] else 0.0) * rate)
             ok = volume < size
-            volume += ok
+            held[:] = [volume + ok, at]
             return ok
 
-        return step
+        return _with_state(step, held)
 
     return start
 
 
 def least_gap(seconds: float) -> Rule:
-    def start():
-        last = None
+    def start(state: list[float] | None = None):
+        held = state or [-inf]  # when one was last admitted
 
         def step(at: float, _: float) -> bool:
-            nonlocal last
-            ok = last is None or at - last >= seconds
-            last = at if ok else last
+            ok = at - held[0] >= seconds
+            held[0] = at if ok else held[0]
             return ok
 
-        return step
+        return _with_state(step, held)
 
     return start
 
@@ -105,38 +107,15 @@ def least_gap(seconds: float) -> Rule:
 def cooldown(bound: float, seconds: float) -> Rule:
     """Fires where the value is over ``bound`` and ``seconds`` have passed since it last fired."""
 
-    def start():
-        last = None
+    def start(state: list[float] | None = None):
+        held = state or [-inf]  # when it last fired
 
         def step(at: float, value: float) -> bool:
-            nonlocal last
-            ok = value > bound and (last is None or at - last >= seconds)
-            last = at if ok else last
+            ok = value > bound and at - held[0] >= seconds
+            held[0] = at if ok else held[0]
             return ok
 
-        return step
-
-    return start
-
-
-def adaptive_rate(base: float, every: float = 60.0) -> Callable[[], Callable[[float, float], float]]:
-    """A request rate that follows success: over 0.9 times 1.2, under 0.5 halved, within 0.1 and 10, once every ``every`` seconds, if it moves by more than 0.1."""
-
-    def start():
-        rate, last, good, seen = base, None, 0, 0
-
-        def step(at: float, value: float) -> float:
-            nonlocal rate, last, good, seen
-            last = at if last is None else last
-            good, seen = good + (value > 0), seen + 1
-            if at - last >= every:
-                share = good / seen
-                new = min(max(rate * (1.2 if share > 0.9 else 0.5 if share < 0.5 else 1.0), 0.1), 10.0)
-                rate = new if abs(new - rate) > 0.1 else rate
-                last, good, seen = at, 0, 0
-            return rate
-
-        return step
+        return _with_state(step, held)
 
     return start
 
@@ -161,52 +140,6 @@ def fold(df: DataFrame, key: str, time: str, tie: str, value: str, rule, output:
     return df.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, f"{schema}, `{output}` {kind}")
 
 
-def controller(least: int, most: int, pause: float = 30.0, calm: float = 300.0, broken: Callable[[float], bool] = lambda score: False) -> Callable[[], Callable[[float, float], float]]:
-    """Concurrent tasks under adaptive control. The value is a score: from 0.8 tasks fall to the least, from 0.6 they
-    shrink by 0.7, under 0.3 they grow by 1.2 unless they shrank within ``calm`` seconds; at most one action in ``pause`` seconds.
-
-    While the breaker is open nothing is done: ``broken`` tells which score opens it, and ``calm`` seconds later it closes with a growth.
-    Growth by 1.2 is rounded down, so tasks under 5 don't grow (kept as it is).
-    """
-
-    def start():
-        tasks, acted, shrank, opened = most, None, None, None
-
-        def step(at: float, score: float) -> float:
-            nonlocal tasks, acted, shrank, opened
-            opened = at if opened is None and broken(score) else opened
-            if acted is not None and at - acted < pause or opened is not None and at - opened < calm:
-                return float(tasks)
-            if opened is not None or score < 0.3 and tasks < most and (shrank is None or at - shrank >= calm):
-                tasks, opened = min(most, int(tasks * 1.2)), None
-            elif score >= 0.6:
-                tasks, shrank = least if score >= 0.8 else max(least, int(tasks * 0.7)), at
-            acted = at
-            return float(tasks)
-
-        return step
-
-    return start
-
-
-def controlled_rate(base: float, pause: float = 30.0) -> Callable[[], Callable[[float, float], float]]:
-    """A request rate under adaptive control by a score: from 0.6 times 0.8 (0.1 at least), under 0.3 times 1.1 (twice the base at most), one action in ``pause`` seconds."""
-
-    def start():
-        rate, acted = base, None
-
-        def step(at: float, score: float) -> float:
-            nonlocal rate, acted
-            if acted is None or at - acted >= pause:
-                rate = max(0.1, rate * 0.8) if 0.6 <= score < 0.8 else min(base * 2, rate * 1.1) if score < 0.3 else rate
-                acted = at
-            return rate
-
-        return step
-
-    return start
-
-
 def all_admit(df: DataFrame, keys: list[tuple[str, Rule]], time: str, tie: str, output: str) -> DataFrame:
     """Requests that pass one limiter after another: each sees only what those before it have admitted."""
     admitted, names = df, df.columns

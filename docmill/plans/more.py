@@ -99,12 +99,6 @@ def request_stats(spark, sf_dir):
     )
 
 
-@query()
-def controlled_tasks(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 50).alias("score"))
-    return folds.fold(events, "user_id", "ts", "event_id", "score", folds.controller(1, 10, 3600.0, 36_000.0), "tasks", "double").select("event_id", "tasks")
-
-
 @query()
 def domain_then_user_limits(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")

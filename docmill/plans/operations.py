@@ -200,12 +200,6 @@ ORACLE["alerts_cooldown"] = _recursive(
 )
 
 
-@query()
-def adaptive_request_rate(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_type") != "error").cast("double").alias("value"))
-    return folds.fold(events, "user_id", "ts", "event_id", "value", folds.adaptive_rate(1.0, 86_400.0), "rate", "double").select("event_id", "rate")
-
-
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def hourly_windows(spark, sf_dir):
     return streams.windowed(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 6))

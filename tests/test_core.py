@@ -161,15 +161,6 @@ def test_alert_rules_and_states(spark):
     assert one(spark, reports.finite_or_zero(F.col("a")), float("inf"), "double") == 0 == one(spark, reports.finite_or_zero(F.col("a")), None, "double")
 
 
-def test_controller_with_breaker():
-    step = folds.controller(1, 10, 30, 300)()
-    assert [step(t, s) for t, s in ((0, 0.7), (10, 0.9), (40, 0.1), (400, 0.1), (440, 0.9))] == [7, 7, 7, 8, 1]
-    step = folds.controller(1, 10, 30, 300, lambda s: s >= 0.95)()
-    assert [step(t, s) for t, s in ((0, 0.7), (40, 0.99), (100, 0.1), (400, 0.7))] == [7, 7, 7, 8]  # open, nothing done, then closed with a growth
-    rate = folds.controlled_rate(1.0)()
-    assert [round(rate(t, s), 3) for t, s in ((0, 0.7), (10, 0.7), (40, 0.1), (80, 0.5))] == [0.8, 0.8, 0.88, 0.88]
-
-
 def test_backup_cleanup_counters_and_migration(spark, tmp_path):
     files = tmp_path / "files"
     files.mkdir()

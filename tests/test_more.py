@@ -29,10 +29,6 @@ def test_tfidf(spark):
     assert [r.j for r in sets.select(terms.jaccard(F.col("x"), F.col("y")).alias("j")).collect()] == [pytest.approx(1 / 3), 0.0]
 
 
-def test_controller():
-    step = folds.controller(1, 10, 30, 100)()
-    assert [step(t, s) for t, s in ((0, 0.7), (10, 0.7), (30, 0.7), (60, 0.1), (140, 0.1), (170, 0.9), (200, 0.4))] == [7, 7, 4, 4, 4, 1, 1]  # growth by 1.2 is rounded down
-
 
 def test_limits_one_after_another(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
