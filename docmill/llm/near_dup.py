@@ -224,9 +224,8 @@ def placed_groups(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame
 
 
 def met(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different roots within each bucket that can have the similarity, by size and by the place of what they share. Nodes of a bucket's commonest root don't meet each other."""
-    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    rows = materialize(rows.join(most, "bucket").withColumn("often", F.col("root") == F.col("most")).drop("most"), "shared")
+    """Pairs of different roots within each bucket that can have the similarity, by size and by the place of what they share. Nodes of ``most``, a bucket's commonest root, don't meet each other."""
+    rows = materialize(rows.withColumn("often", F.col("root") == F.col("most")).drop("most"), "shared")
     short = rows.where(f"(n_shingles + 1 - place) * {100 + percent} >= {2 * percent} * n_shingles")
     s, t = (F.struct("n_shingles", "set_id", "place", "root").alias(c) for c in "st")
     meets = F.explode(F.when(F.col("often"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("often")
@@ -242,7 +241,7 @@ def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
     and b - o + 1 at most, so linked nodes meet in the bucket of a group in both prefixes. A bucket whose nodes meet
-    no more others than they have groups is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
+    no more others of another root than they have groups is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
     rare in it and meet in buckets of their own, each smaller than it. Where the first common group is the core, which all its nodes hold, the
     overlap is the weight of the core, and sizes alone tell what is linked: each node with the bucket's least, or not at all.
     Buckets of one root are done. So what a node meets in a bucket is bounded by its own shingles, however many share a template.
@@ -257,10 +256,12 @@ def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         first = (F.first(c).alias(c) for c in ("n_shingles", "root", "n_groups"))
         children = placed.where("NOT core").groupBy(F.col("child").alias("bucket"), "set_id").agg(F.min("place").alias("place"), *first)
         children = materialize(children, "children")
-        sizes = children.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_groups").alias("entries"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        large = (F.col("size") > MEET) & (F.col("size") * F.col("size") > 2 * F.col("entries")) if level < LEVELS else F.lit(False)
-        sizes = materialize(sizes.select("bucket", large.alias("large")), "sizes")
-        found.append(met(children.join(sizes.where("NOT large"), "bucket", "left_semi"), percent))
+        roots = children.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_groups").alias("entries"))
+        sizes = roots.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"), F.sum("entries").alias("entries")).where("roots > 1")
+        others = F.col("size") - F.col("top.n")
+        large = (others > MEET) & (others * F.col("size") > 2 * F.col("entries")) if level < LEVELS else F.lit(False)
+        sizes = materialize(sizes.select("bucket", F.col("top.root").alias("most"), large.alias("large")), "sizes")
+        found.append(met(children.join(sizes.where("NOT large").select("bucket", "most"), "bucket"), percent))
         if sizes.where("large").isEmpty():
             break
         rows = materialize(children.join(sizes.where("large"), "bucket", "left_semi").drop("place"), "buckets")
