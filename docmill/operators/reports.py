@@ -90,8 +90,15 @@ def last_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= n)
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``df`` with the non-null values of ``changes`` in their place, for keys that it has."""
+def last_change(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row a key: the change with the highest ``order``, else the one whose values come last as JSON, so the result never depends on the order of rows."""
     names = [c for c in changes.columns if c != key]
-    new = changes.select(F.col(key), *(F.col(c).alias(f"__{c}") for c in names))
+    whole = F.struct(*names)
+    return changes.groupBy(key).agg(F.max_by(whole, F.col(order) if order else F.to_json(whole)).alias("_it")).select(key, *(F.col("_it")[c].alias(c) for c in names)) if names else changes.distinct()
+
+
+def updated(df: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``df`` with the non-null values of ``changes`` in their place, for keys that it has. Of several changes of one key the last counts (``last_change``)."""
+    names = [c for c in changes.columns if c != key and c in df.columns]
+    new = last_change(changes, key, order).select(F.col(key), *(F.col(c).alias(f"__{c}") for c in names))
     return df.join(new, key, "left").select(*((F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in names else F.col(c)) for c in df.columns))

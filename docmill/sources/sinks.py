@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.reports import updated
+from docmill.operators.reports import last_change, updated
 
 
 def write_documents(df: DataFrame, path: str, id_col: str = "id") -> None:
@@ -21,9 +21,10 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Changes applied by key; keys that the table lacks are added."""
-    return updated(table, changes, key).unionByName(changes.join(table, key, "left_anti"), allowMissingColumns=True)
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Changes applied by key; keys that the table lacks are added, each once. Of several changes of one key the last counts (``reports.last_change``)."""
+    added = last_change(changes, key, order).join(table, key, "left_anti")
+    return updated(table, changes, key, order).unionByName(added.select(*(c for c in added.columns if c in table.columns)), allowMissingColumns=True)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -112,16 +113,31 @@ def migrated(df: DataFrame, schema: str, required: tuple[str, ...] = (), uuid_co
     return out.withColumn("valid", valid)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path as it takes it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing ``path``."""
+    files, mark = _folder(spark, f"{path}/_SUCCESS")
+    return files.exists(mark)
+
+
 def save_state(df: DataFrame, path: str, version: int) -> None:
-    """One version of a state table as JSON lines; a version that is there is left as it is, so a repeated job changes nothing."""
-    df.write.mode("ignore").json(f"{path}/version={version}")
+    """One version of a state table as JSON lines; a whole version is left as it is, so a repeated job changes nothing, and what a broken job has left is written anew."""
+    target = f"{path}/version={version}"
+    if not _whole(df.sparkSession, target):
+        df.write.mode("overwrite").json(target)
 
 
 def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The latest version of a state table."""
-    rows = spark.read.schema(f"{schema}, version INT").json(path)
-    latest = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == F.lit(latest)).drop("version")
+    """The latest whole version of a state table; no rows if there is none."""
+    files, folder = _folder(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    versions = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and _whole(spark, f"{path}/{n}"))
+    return spark.read.schema(schema).json(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def decoded_list(c: str, kind: str = "array<string>") -> Column:
