@@ -39,6 +39,8 @@ TREES, LEAST_DEPTH, MOST_DEPTH = 16, 3, 8
 REGION = 1000
 #: Nodes of a bucket of the exact way that meet each other directly, and how often larger ones are divided.
 MEET, LEVELS = 8, 16
+#: The average similarity in a bucket from which on it isn't divided, and the values of signatures that tell it.
+ALIKE, FEW = 0.6, 4
 VALUES = TREES * LEAST_DEPTH
 #: Values of ``VALUES`` in which two signatures agree at least before full sets are read; at similarity 0.8 fewer agree once in 100,000 pairs.
 LEAST_AGREED = 26
@@ -236,18 +238,27 @@ def met(rows: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"))
 
 
+def alike(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bucket and ``likeness``: about how similar two nodes of it are on average, by how often they agree in a few values of their signatures."""
+    few = F.array(*(F.struct(F.lit(j).alias("j"), F.substring("signature", 4 * j + 1, 4).alias("value")) for j in range(FEW)))
+    each = rows.select("bucket", "set_id").join(nodes.select("set_id", F.explode(few).alias("x")), "set_id")
+    counts = each.groupBy("bucket", "x").agg(F.count("*").cast("double").alias("n"))
+    return counts.groupBy("bucket").agg((FEW * F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("likeness"))
+
+
 def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b that can have the similarity, enough to link whatever is linked, by a prefix filter that divides large buckets again.
 
     In a common order of items, two sets with an overlap of o hold their first common item at place a - o + 1
     and b - o + 1 at most, so linked nodes meet in the bucket of a group in both prefixes. A bucket whose nodes meet
     no more others of another root than they have groups is joined. A larger one is a smaller problem of the same kind: its nodes are ordered by what is
-    rare in it and meet in buckets of their own, each smaller than it. Where the first common group is the core, which all its nodes hold, the
+    rare in it and meet in buckets of their own, each smaller than it. That pays where nodes are unlike each other, as texts of one template with
+    other fillings are; where they are ``ALIKE`` all buckets would hold about the same nodes, which are joined. Where the first common group is the core, which all its nodes hold, the
     overlap is the weight of the core, and sizes alone tell what is linked: each node with the bucket's least, or not at all.
-    Buckets of one root are done. So what a node meets in a bucket is bounded by its own shingles, however many share a template.
+    Buckets of one root are done. So what a node meets of unlike texts is bounded by its own shingles, however many share a template.
     """
     groups = grouped_items(nodes, sets)
-    counted = nodes.join(groups.groupBy("set_id").agg(F.count("*").alias("n_groups")), "set_id")
+    counted = nodes.select("set_id", "n_shingles", "root").join(groups.groupBy("set_id").agg(F.count("*").alias("n_groups")), "set_id")
     rows, found = counted.withColumn("bucket", F.lit(0).cast("long")), []
     for level in range(1, LEVELS + 1):
         placed = materialize(placed_groups(rows, groups, percent), "placed")
@@ -261,6 +272,9 @@ def exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         others = F.col("size") - F.col("top.n")
         large = (others > MEET) & (others * F.col("size") > 2 * F.col("entries")) if level < LEVELS else F.lit(False)
         sizes = materialize(sizes.select("bucket", F.col("top.root").alias("most"), large.alias("large")), "sizes")
+        if not sizes.where("large").isEmpty():
+            near = alike(children.join(sizes.where("large"), "bucket", "left_semi"), nodes)
+            sizes = materialize(sizes.join(near, "bucket", "left").select("bucket", "most", (F.col("large") & (F.col("likeness") < ALIKE)).alias("large")), "sizes")
         found.append(met(children.join(sizes.where("NOT large").select("bucket", "most"), "bucket"), percent))
         if sizes.where("large").isEmpty():
             break
@@ -313,7 +327,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     if not found.isEmpty():
         links, tried = links.unionByName(found), tried.unionByName(more)
         roots = components(links)
-    open_nodes = materialize(unsettled(crowd, roots), "unsettled")
+    open_nodes = materialize(unsettled(crowd, roots).join(nodes.select("set_id", "signature"), "set_id"), "unsettled")
     if not open_nodes.isEmpty():
         found = materialize(confirmed(exact_pairs(open_nodes, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
         if not found.isEmpty():
