@@ -176,3 +176,26 @@ def queue_report(tasks: DataFrame, by: str, status: str, seconds: Column) -> Dat
         F.count("*").alias("total"), of("pending").alias("pending"), of("running").alias("running"), of("completed").alias("completed"), of("failed").alias("failed"),
         F.avg("_seconds").alias("mean_seconds"), rate_or_zero(of("completed"), of("completed", "failed")).alias("success_rate"),
     )
+
+
+def check_rows(df: DataFrame, warning: dict[str, Column], unhealthy: dict[str, Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, check, status and failing of own health checks, each a condition of rows that fail it: the more serious condition that any row meets decides.
+
+    All checks are counted in one aggregate; a check that is in one of the two dictionaries only has no other level. An empty table is healthy; conditions that are null don't count.
+    """
+    unhealthy = unhealthy or {}
+    names = sorted({*warning, *unhealthy})
+    counted = [F.count_if(conditions[name]).alias(f"_{level}{k}") for k, name in enumerate(names) for level, conditions in (("w", warning), ("u", unhealthy)) if name in conditions]
+    sums = df.groupBy(*by).agg(F.count("*").alias("_n"), *counted)
+
+    def row(k: int, name: str) -> Column:
+        bad, soft = (F.col(f"_{level}{k}") if name in conditions else F.lit(0).cast("long") for level, conditions in (("u", unhealthy), ("w", warning)))
+        return F.struct(F.lit(name).alias("check"), F.when(bad > 0, "unhealthy").when(soft > 0, "warning").otherwise("healthy").alias("status"), F.greatest(bad, soft).alias("failing"))
+
+    return sums.select(*by, F.explode(F.array(*(row(k, name) for k, name in enumerate(names)))).alias("c")).select(*by, "c.*")
+
+
+def with_custom_metrics(df: DataFrame, **collectors: Column) -> DataFrame:
+    """``df`` with ``custom_metrics``, a map of what own collectors, any columns, give for each row; nulls are left out."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("key"), value.cast("double").alias("value")) for name, value in collectors.items()))
+    return df.withColumn("custom_metrics", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))

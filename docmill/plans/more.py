@@ -181,3 +181,20 @@ def turn_terms(spark, sf_dir):
     own = F.filter(terms.words("text"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
     each = table(spark, sf_dir, "conversations").select(F.explode(terms.grams(own, 2)).alias("term"))
     return each.groupBy("term").agg(F.count("*").alias("n")).where("n > 5")
+
+
+@query("""WITH c AS (SELECT event_type, count(*) FILTER (value > 95) AS u1, count(*) FILTER (value > 60) AS w1, count(*) FILTER (user_id IS NULL) AS u2, count(*) FILTER (value < 0.05) AS w3 FROM events GROUP BY event_type)
+SELECT event_type, 'load' AS "check", CASE WHEN u1 > 0 THEN 'unhealthy' WHEN w1 > 0 THEN 'warning' ELSE 'healthy' END AS status, greatest(u1, w1) AS failing FROM c
+UNION ALL SELECT event_type, 'owner', CASE WHEN u2 > 0 THEN 'unhealthy' ELSE 'healthy' END, u2 FROM c UNION ALL SELECT event_type, 'idle', CASE WHEN w3 > 0 THEN 'warning' ELSE 'healthy' END, w3 FROM c""")
+def own_health_checks(spark, sf_dir):
+    """Checks of one's own for each kind of event, a row each."""
+    value = F.col("value")
+    return monitoring.check_rows(table(spark, sf_dir, "events"), {"load": value > 60, "idle": value < 0.05}, {"load": value > 95, "owner": F.col("user_id").isNull()}, ("event_type",))
+
+
+@query("SELECT event_id, round(value / 2, 6) AS half, CASE WHEN event_type = 'error' THEN 1.0::DOUBLE END AS failed FROM events")
+def custom_metrics(spark, sf_dir):
+    """Metrics of own collectors beside the standard ones."""
+    rows = monitoring.with_custom_metrics(table(spark, sf_dir, "events"), half=F.round(F.col("value") / 2, 6), failed=F.when(F.col("event_type") == "error", 1))
+    of = lambda name: F.try_element_at("custom_metrics", F.lit(name)).alias(name)
+    return rows.select("event_id", of("half"), of("failed"))

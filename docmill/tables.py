@@ -27,11 +27,14 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docmill-{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this application has written, once no result needs them any more."""
-    jvm, path = spark.sparkContext._jvm, tables_dir(spark)
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete(spark, tables_dir(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

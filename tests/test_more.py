@@ -62,3 +62,12 @@ def test_queries_take_all_rows(spark, tmp_path):
 def test_semantic_duplicates_of_other_rows(spark):
     rows = spark.createDataFrame([(1, LONG.format("x"), [1.0, 0.0]), (2, LONG.format("X"), [0.0, 1.0]), (3, LONG.format("y"), [0.1, 1.0])], "doc_id long, text string, embedding array<float>")
     assert {tuple(r) for r in dedup.semantic_duplicates(rows, rows, 0.9, others=True).collect()} == {(1, 2, "hash"), (2, 1, "hash"), (3, 2, "vector")}
+
+
+def test_own_checks_and_collectors(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", None), ("b", 99.0)], "k string, v double")
+    v = F.col("v")
+    got = {tuple(r) for r in monitoring.check_rows(df, {"high": v > 4, "low": v < 0}, {"high": v > 90}, ("k",)).collect()}
+    assert got == {("a", "high", "warning", 1), ("a", "low", "healthy", 0), ("b", "high", "unhealthy", 1), ("b", "low", "healthy", 0)}
+    assert [tuple(r) for r in monitoring.check_rows(df.limit(0), {"high": v > 4}).collect()] == [("high", "healthy", 0)]
+    assert [r.custom_metrics for r in monitoring.with_custom_metrics(df, twice=v * 2, one=F.lit(1)).collect()] == [{"twice": 10.0, "one": 1.0}, {"one": 1.0}, {"twice": 198.0, "one": 1.0}]
