@@ -66,7 +66,7 @@ def not_seen(df: DataFrame, seen: DataFrame, text_col: str = "text") -> DataFram
 
 def similar_flags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
     """id and ``is_similar``: whether a document of a smaller id has a weighted score (hash, length, words, structure) of ``least`` or more; ``similar.best_similar`` names it."""
-    return similar.best_similar(df, id_col, text_col, least, least_chars).select(id_col, F.col("partner").isNotNull().alias("is_similar"))
+    return similar.has_similar(df, id_col, text_col, least, least_chars)
 
 
 def is_duplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, least: float | str = "normal", least_chars: int = LEAST_CHARS) -> DataFrame:
