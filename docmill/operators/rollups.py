@@ -1,6 +1,6 @@
 """Roll-ups that are kept: states of keys and hours, to which new hours are added without a look at old rows.
 
-Counts, sums and extremes merge exactly, distinct users by HyperLogLog sketches, quantiles by KLL sketches. A report over any set of
+Counts, sums and extremes merge exactly, distinct users by HyperLogLog sketches or, where the count has to be exact, as rows of their own, quantiles by KLL sketches. A report over any set of
 hours merges states, a row for each key and hour, instead of events.
 """
 
@@ -32,11 +32,25 @@ def with_new_hours(stored: DataFrame, new: DataFrame, by: list[str]) -> DataFram
     return merged_states(stored.unionByName(new), *by, "hour")
 
 
-def report(states: DataFrame, *by: str) -> DataFrame:
-    """n, failures, success_rate, total, mean, least, most, latest, users (estimated) and median of merged states."""
+def hourly_users(df: DataFrame, time_col: str, by: list[str], user_col: str) -> DataFrame:
+    """by, hour and the distinct users of each key and hour, a row each: what a report needs to count users exactly."""
+    return df.where(F.col(user_col).isNotNull()).select(*by, F.date_trunc("hour", F.col(time_col)).alias("hour"), F.col(user_col).alias("user")).distinct()
+
+
+def with_new_users(stored: DataFrame, new: DataFrame) -> DataFrame:
+    return stored.unionByName(new).distinct()
+
+
+def report(states: DataFrame, *by: str, users: DataFrame | None = None) -> DataFrame:
+    """n, failures, success_rate, total, mean, least, most, latest, users and median of merged states. Users are estimated from the sketches, or counted where their rows (``hourly_users``) are given."""
     merged = merged_states(states, *by)
+    counted = F.hll_sketch_estimate("users")
+    if users is not None:
+        exact = users.select(F.struct(F.lit(0), *by).alias("_by"), "user").groupBy("_by").agg(F.count_distinct("user").alias("_users"))
+        merged = merged.join(exact, F.struct(F.lit(0), *by).eqNullSafe(F.col("_by")), "left")
+        counted = F.coalesce("_users", F.lit(0))
     rate = 100 * (F.col("n") - F.col("failures")) / F.col("n")
     return merged.select(
         *by, "n", "failures", rate.alias("success_rate"), "total", F.try_divide("total", "n_values").alias("mean"), "least", "most", "latest",
-        F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_double("values", F.lit(0.5)).alias("median"),
+        counted.alias("users"), F.kll_sketch_get_quantile_double("values", F.lit(0.5)).alias("median"),
     )
