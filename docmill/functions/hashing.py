@@ -112,14 +112,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and a 64-bit simhash over words weighted by their count, each word hashed once."""
+    """id and a 64-bit simhash over words weighted by their count. Words are counted bit by bit where they stand, so a row moves for each document, not for each of its words."""
     words = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)\b\w+\b"), F.lit(0))).alias("word"))
-    counted = words.groupBy("id", "word").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("word"))
-    votes = [F.sum(F.when(F.shiftright("h", bit).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{bit}") for bit in range(64)]
-    voted = counted.groupBy("id").agg(*votes)
+    hashed = words.select("id", F.xxhash64("word").alias("h"))
+    # Two counts of 32 bits a number: bit ``b`` below, bit ``b + 32`` above.
+    sums = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"b{b}") for b in range(32)]
+    voted = hashed.groupBy("id").agg(F.count("*").alias("n"), *sums)
     value = F.lit(0).cast("long")
-    for bit in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{bit}") > 0, F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
+    for b in range(32):
+        for bit, ones in ((b, F.col(f"b{b}").bitwiseAND(F.lit((1 << 32) - 1))), (b + 32, F.shiftrightunsigned(f"b{b}", 32))):
+            value = value.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return voted.select(F.col("id").alias(id_col), value.alias("simhash"))
 
 
