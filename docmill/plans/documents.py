@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from docmill.functions import hashing, html, text
+from docmill.functions import hashing, html, terms, text
 from docmill.operators import dedup, reports, validate
 from docmill.plans.base import query, spread, table
 
@@ -125,12 +125,7 @@ c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(
 SELECT doc_id, word, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM c QUALIFY rank <= 10
 """)
 def keywords_top10(spark, sf_dir):
-    from pyspark.sql import Window
-
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w+\b"), F.lit(0))).alias("pos", "word"))
-    counted = words.where((F.length("word") > 2) & ~F.col("word").isin(*text.STOP_WORDS)).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counted.withColumn("rank", rank.cast("long")).where("rank <= 10").select("doc_id", "word", "n", "rank")
+    return terms.top_terms(table(spark, sf_dir, "documents"), "doc_id", "text", 10, lambda w: (F.length(w) > 2) & ~w.isin(*text.STOP_WORDS))
 
 
 #: Every finding as field:rule:level. The title is the first line, so it opens the content: their sequence ratio is twice its length over both.
