@@ -102,8 +102,8 @@ def with_next_run(df: DataFrame, expression_col: str, time_col: str) -> DataFram
 
 
 def due_runs(df: DataFrame, expression_col: str, start: str, end: str) -> DataFrame:
-    """A row of ``df`` with ``due`` for every run of its expression after ``start`` up to ``end``, both timestamps."""
-    rows = df.withColumn("_m", cron_masks(expression_col)).where("_m IS NOT NULL")
+    """A row of ``df`` with ``due`` for every run of its expression after ``start`` up to ``end``, both timestamps. The runs are found once for each distinct expression."""
+    rows = df.select(F.col(expression_col).alias("_e")).distinct().where("_e IS NOT NULL").withColumn("_m", cron_masks("_e")).where("_m IS NOT NULL")
     low, high = (F.lit(t).cast("timestamp") for t in (start, end))
     each = rows.withColumn("_d", F.explode(F.sequence(F.to_date(low), F.to_date(high))))
     m, day = F.col("_m"), F.col("_d")
@@ -112,7 +112,8 @@ def due_runs(df: DataFrame, expression_col: str, start: str, end: str) -> DataFr
     hours = each.withColumn("_h", F.explode(F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: admits("hour", h))))
     minutes = hours.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(59)), lambda i: admits("minute", i))))
     due = minutes.withColumn("due", F.timestamp_add("MINUTE", F.col("_h") * 60 + F.col("_i"), day.cast("timestamp")))
-    return due.where((F.col("due") > low) & (F.col("due") <= high)).drop("_m", "_d", "_h", "_i")
+    due = due.where((F.col("due") > low) & (F.col("due") <= high)).select("_e", "due")
+    return df.join(due, F.col(expression_col) == F.col("_e")).drop("_e")
 
 
 def simple_next_run(expression: Column | str, last: Column | str) -> Column:
