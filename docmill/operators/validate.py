@@ -186,12 +186,15 @@ def validate(df: DataFrame, rules: Rules | None = None, asof: Column | None = No
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:
-    """One row: totals, rates, and the five fields with most findings."""
-    fields = validated.select(F.explode("findings.field").alias("field")).groupBy("field").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field").limit(5)
-    top = fields.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "field"))), lambda s: s["field"]), ",").alias("top_fields"))
-    totals = validated.agg(
-        F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.coalesce(F.sum("n_errors"), F.lit(0)).alias("errors"),
-        F.coalesce(F.sum("n_warnings"), F.lit(0)).alias("warnings"), F.coalesce(F.sum("n_infos"), F.lit(0)).alias("infos"),
+    """One row: totals, rates, and the five fields with most findings. Every document is validated once: its first finding, or the lack of any, stands for it in the totals."""
+    each = validated.select("is_valid", "n_errors", "n_warnings", "n_infos", F.posexplode_outer("findings.field").alias("pos", "field"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    own = lambda c: F.sum(F.when(first, F.col(c)).otherwise(0))
+    fields = each.groupBy("field").agg(
+        F.count("pos").alias("n"), F.count_if(first).alias("total"), F.count_if(first & F.col("is_valid")).alias("valid"),
+        own("n_errors").alias("errors"), own("n_warnings").alias("warnings"), own("n_infos").alias("infos"),
     )
-    rates = totals.withColumns({"validity_rate": F.coalesce(F.try_divide(F.col("valid"), F.col("total")), F.lit(0.0)), "errors_per_document": F.coalesce(F.try_divide(F.col("errors"), F.col("total")), F.lit(0.0))})
-    return rates.withColumn("one", F.lit(1)).join(top.withColumn("one", F.lit(1)), "one").drop("one")
+    most = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct((-F.col("n")).alias("n"), "field"))))
+    totals = fields.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "valid", "errors", "warnings", "infos")), F.array_join(F.transform(F.slice(most, 1, 5), lambda s: s["field"]), ",").alias("top_fields"))
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total")), F.lit(0.0))
+    return totals.select("total", "valid", "errors", "warnings", "infos", rate("valid").alias("validity_rate"), rate("errors").alias("errors_per_document"), "top_fields")
