@@ -6,6 +6,8 @@ the hash, so a group of any size is pre-aggregated before it moves.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,11 +115,11 @@ def load_signatures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIGNATURES).json(path)
 
 
-def similar_vectors(df: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, part_rows: int = 8192) -> DataFrame:
+def similar_vectors(df: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, part_rows: int = 8192, few_rows: int = 64) -> DataFrame:
     """query_id, rank, id and score of the k rows of ``df`` with the highest cosine of ``least`` or more.
 
-    Rows are cut into parts and queries into blocks; each part meets each block once as a product of two
-    matrices of unit vectors and keeps k rows a query. Null vectors take no part; vectors meet those of their own
+    Rows are cut into parts and queries into blocks; each part meets each block once, ``few_rows`` queries at a time, as products of
+    matrices of unit vectors, and keeps k rows a query. Null vectors take no part; vectors meet those of their own
     length; null components and zero vectors have cosine 0 with everything.
     """
     n, m = df.count(), queries.count()
@@ -136,7 +138,7 @@ def similar_vectors(df: DataFrame, queries: DataFrame, k: int = 5, least: float
         out = []
         if len(left) and len(right):
             ids, x, q = left["id"].to_numpy(), units(left["v"]), units(right["v"])
-            for own, unit, rough in zip(right["id"], q, q @ x.T):
+            for own, unit, rough in zip(right["id"], q, chain.from_iterable(q[i : i + few_rows] @ x.T for i in range(0, len(q), few_rows))):
                 bar = max(least, np.partition(rough, -k - 1)[-k - 1] if len(rough) > k else -2) - 1e-9  # one more, for the query itself
                 at = np.flatnonzero((rough >= bar) & (ids != own))
                 exact = (x[at] * unit).sum(1)  # in one order for every row, so equal vectors tie
